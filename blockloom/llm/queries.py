@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from blockloom.llm.mixing import ORACLE as MIX_SQL
 from blockloom.llm.mixing import mix_documents
 from blockloom.llm.packing import pack_documents
+from blockloom.llm.quality import quality_verdicts
 from blockloom.llm.simhash import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +27,16 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mix, op4_simhash)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mix, op3_robust_quality, op4_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
