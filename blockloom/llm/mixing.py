@@ -87,6 +87,24 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     return mix(sized, **how)
 
 
+def apply_mix(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as its source's budget takes it, and the row that a budget ends in
+    with the words that are still due. Columns stay; a document without words is not taken.
+
+    Wholly equal rows share what they take evenly. Texts are shuffled once, by a hash of the whole row.
+    """
+    names = docs.columns
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in names))
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row.alias("q_hash")), "sized")
+    taken = mix(sized, **how).groupBy("q_hash").agg(F.sum("taken").alias("t"), F.count("*").alias("c"), F.max("size").alias("q_size"))
+    taken = taken.select("q_hash", "q_size", F.expr("t div c").alias("q_taken")).where("q_taken > 0")
+    rows = docs.withColumn("q_row", row).join(taken, F.col("q_row") == F.col("q_hash"))
+    rows = rows.withColumn("q_part", F.explode(F.expr("concat(array_repeat(0L, cast(q_taken div q_size as int)), filter(array(q_taken % q_size), x -> x > 0))")))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    part = F.concat_ws(" ", F.slice(words, F.lit(1), F.col("q_part").cast("int")))
+    return rows.withColumn("text", F.when(F.col("q_part") == 0, F.col("text")).otherwise(part)).select(*names)
+
+
 #: The same in DuckDB SQL; the water level is found by trying each number of full sources.
 ORACLE = r"""
 with sized as (

@@ -11,6 +11,7 @@ from blockloom.llm.mixing import mix_documents
 from blockloom.llm.packing import pack_documents
 from blockloom.llm.quality import quality_verdicts
 from blockloom.llm.simhash import simhash_groups
+from blockloom.llm.suffixes import repeat_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +36,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mix, op3_robust_quality, op4_simhash)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mix, op3_robust_quality, op4_simhash, op8_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,14 +39,15 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(0).cast(pa.binary())
         prints = pa.array((fingerprint(x.as_py()) for x in texts), pa.int64(), size=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], prints], [*batch.schema.names[1:], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every row; null texts count as empty (fingerprint 0)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """``doc_id, row_hash, fp`` of every row; null texts count as empty (fingerprint 0). ``row_hash`` tells rows with one doc_id apart."""
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_hash")
+    return docs.select("text", F.col("doc_id").cast("long"), row).mapInArrow(_fingerprints, "doc_id long, row_hash long, fp long")
 
 
 #: A 32-bit segment value shared by more fingerprints than this is looked up by a longer key.
@@ -103,8 +104,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     keeps its row and never becomes a component_id unless a component has no other; repeated rows stay
     repeated; other columns are ignored; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs), "prints")
-    return _grouped(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(materialize(fingerprints(docs), "prints")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _grouped(prints: DataFrame) -> DataFrame:
@@ -115,4 +115,23 @@ def _grouped(prints: DataFrame) -> DataFrame:
     named = materialize(named, "named")
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "row_hash", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, of which each group keeps one: that with the smallest doc_id.
+
+    Between rows of one group that share this doc_id the smallest row hash decides, and of wholly equal rows one
+    stays. Groups are found on fingerprints alone; texts are shuffled once, by keys that don't repeat.
+    """
+    prints = materialize(fingerprints(docs), "prints")
+    grouped = materialize(_grouped(prints), "grouped")
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), F.col("row_hash").alias("h"))
+    # A group is its component's smallest id; components without any id keep their fingerprints apart.
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    copies = grouped.groupBy(group.alias("g"), ranked.alias("r")).agg(F.count("*").alias("n"))
+    best = copies.groupBy("g").agg(F.min(F.struct("r", "n")).alias("b")).select(F.col("b.r.i").alias("q_id"), F.col("b.r.h").alias("q_hash"), F.col("b.n").alias("q_n"))
+    names = docs.columns
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in names))
+    kept = docs.withColumn("q_row", row).join(best, (F.col("q_row") == F.col("q_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("q_id")))
+    return kept.where("q_n = 1").select(*names).union(kept.where("q_n > 1").dropDuplicates(["q_row"]).select(*names))
