@@ -274,4 +274,5 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     and repeated rows are packed like others; very long texts are cut into full pieces and a rest; other columns are
     ignored; an empty table gives an empty result.
     """
-    return place(materialize(token_pieces(docs, vocabulary, capacity), "pieces"), capacity, groups)
+    placed = place(materialize(token_pieces(docs, vocabulary, capacity), "pieces"), capacity, groups)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom.llm.chat import chat_digests, format_chats
 from blockloom.llm.mixing import ORACLE as MIX_SQL
 from blockloom.llm.mixing import mix_documents
 from blockloom.llm.packing import pack_documents
 from blockloom.llm.quality import quality_verdicts
 from blockloom.llm.simhash import simhash_groups
 from blockloom.llm.suffixes import repeat_digests
+from blockloom.llm.url_filter import judge_urls
+from blockloom.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,12 +39,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat_digests(format_chats(turns))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mix, op3_robust_quality, op4_simhash, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mix, op3_robust_quality, op4_simhash, op5_warc, op7_chat_windows, op8_suffix_dedup, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
