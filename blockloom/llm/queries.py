@@ -13,6 +13,8 @@ from blockloom.llm.packing import pack_documents
 from blockloom.llm.quality import quality_verdicts
 from blockloom.llm.simhash import simhash_groups
 from blockloom.llm.suffixes import repeat_digests
+from blockloom.llm.tiff import media_digests
+from blockloom.llm.token_files import token_counts
 from blockloom.llm.url_filter import judge_urls
 from blockloom.llm.warc import archive_pages
 
@@ -43,6 +45,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
@@ -57,8 +63,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mix, op3_robust_quality, op4_simhash, op5_warc, op7_chat_windows, op8_suffix_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mix, op3_robust_quality, op4_simhash, op5_warc, op6_token_counts, op7_chat_windows, op8_suffix_dedup, op9_url_filter, op10_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
