@@ -1,13 +1,34 @@
-"""All queries by name, each with the DuckDB SQL that must give the same rows."""
+"""All queries by name, each with the DuckDB SQL that must give the same rows where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 FLAGSHIP = "order_volatility"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its twin."""
+
+    def add(function):
+        _QUERIES[function.__name__] = function
+        if sql is not None:
+            _SQL[function.__name__] = sql
+        return function
+
+    return add
+
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from blockloom.plans import block_queries, format_queries, state_queries  # noqa: F401  fills the tables
 
-def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(_SQL)
