@@ -138,7 +138,8 @@ class _Bins:
     def best_fit(self, length: int, n: int) -> None:
         """Place ``n`` pieces of one length one after another, each where it leaves the least room; runs share a step."""
         while n:
-            count, used, parts = self.take(length) or [n, 0, []]
+            fresh = min(self.capacity // length, n)
+            count, used, parts = self.take(length) or [n // fresh, 0, []]
             each = min((self.capacity - used) // length, n)
             full = min(count, n // each)
             self.add(count - full, used, parts)
