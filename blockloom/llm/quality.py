@@ -20,8 +20,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FLOORS = (1.0, 0.12, 0.08, 0.12, 0.12)
 P = len(FLOORS)
 #: Part of a group that the determinant is minimised over, and the factor that makes its covariance consistent for
-#: normal data: 0.75 / F(chi-square with 7 degrees, 6.626), 6.626 being the 0.75 quantile with 5 degrees.
-HALF, CONSISTENT = 0.75, 1.412
+#: normal data: 0.5 / F(chi-square with 7 degrees, 4.351), 4.351 being the median with 5 degrees.
+HALF, CONSISTENT = 0.5, 1.912
 #: Chi-square quantile with 5 degrees at 1 - 1e-9: squared distances beyond it are rejected.
 CUT = 51.0
 #: Groups with fewer rows are estimated together.
@@ -106,8 +106,8 @@ def _start(rows: DataFrame) -> DataFrame:
 def fit_outliers(stats: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimates of each group of ``stats(lang, source, q_...)``: ``grp, center, inverse``.
 
-    Deterministic: from medians and quartile ranges, concentration steps keep the three quarters of a group that
-    are nearest and estimate anew, each of which can't raise the determinant. The nearest part is found from a
+    Deterministic: from medians and quartile ranges, concentration steps keep the half of a group that
+    is nearest and estimate anew, each of which can't raise the determinant. The nearest part is found from a
     histogram of log distances and its moments are sums, so every step is a pre-aggregated pass over all rows and
     nothing of a group meets in one task but its bins. Rows that fail the base rules aren't used. Pass a
     materialised table.
