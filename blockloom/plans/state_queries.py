@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from blockloom.operators import blocks as B
 from blockloom.operators import combine as C
+from blockloom.operators import hashing as H
 from blockloom.operators import metrics as M
+from blockloom.operators import modules as D
 from blockloom.operators import ranges as R
+from blockloom.operators import sets as S
 from blockloom.operators import sync as Y
 from blockloom.operators import track as T
 from blockloom.operators import volatility as V
@@ -362,3 +365,105 @@ def need_events(spark, d):
 def remote_merge(spark, d):
     tag = lambda df: df.withColumn("device", F.lit(0))
     return Y.merge_remote(tag(bind.base(spark, d)), tag(bind.overlay(spark, d))).select("block_no", F.lower(F.hex("data")).alias("data"), "kept_local")
+
+
+_LOCKS = "(select device, seq, seq % 40 < 20 as locked from v_oplog where op = 'SYNC')"
+
+
+@query(twin(f"""select o.device, o.seq, o.op, case when o.op = 'W' and coalesce((select arg_max(l.locked, l.seq) from {_LOCKS} l where l.device = o.device and l.seq <= o.seq), false)
+  then (select min(l.seq) from {_LOCKS} l where l.device = o.device and l.seq > o.seq and not l.locked) else o.seq end as passed_at from v_oplog o""", "v_oplog"))
+def read_only_gate(spark, d):
+    ops = bind.oplog(spark, d)
+    return D.gate(ops, ops.where("op = 'SYNC'").selectExpr("device", "seq", "seq % 40 < 20 as locked"))
+
+
+@query(twin("select device, seq, case op when 'R' then 10 + 2 * length when 'W' then 20 + 3 * length else 0 end as delay from v_oplog", "v_oplog"))
+def artificial_latency(spark, d):
+    return D.artificial_latency(bind.oplog(spark, d), 10, 2, 20, 3).select("device", "seq", "delay")
+
+
+@query(twin(f"""select side, device, block_no, seq from (select device, block_no, seq, greatest("offset", block_no * 1024) as a, least("offset" + length, {SIZE} - 100, (block_no + 1) * 1024) as b from
+  (select *, unnest(range("offset" // 1024, (least("offset" + length, {SIZE} - 100) - 1) // 1024 + 1)) as block_no from v_oplog where op = 'W' and "offset" < {SIZE} - 100)), (values ('local'), ('remote')) s(side)
+  where a = block_no * 1024 and (b - a = 1024 or side = 'remote' and b = {SIZE} - 100)""", "v_oplog"))
+def available_parts(spark, d):
+    t = B.touches(bind.oplog(spark, d), SIZE - 100, 1024)
+    parts = [D.available_parts(t, SIZE - 100, 1024, remote).select(F.lit(side).alias("side"), "device", "block_no", "seq") for side, remote in (("local", False), ("remote", True))]
+    return parts[0].union(parts[1])
+
+
+@query(twin(f"""select device, 0::bigint as seq, 'TRACK' as op, block_no * {BLOCK} as "offset" from (select device, unnest(range(0, {BLOCKS})) as block_no from (select distinct device from v_oplog) except select device, block_no from v_touch where op = 'W')""", "v_touch"))
+def track_unrequired(spark, d):
+    t = _touched(spark, d)
+    blocks = t.select("device").distinct().withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    free = blocks.join(t.where("op = 'W'").select("device", "block_no").distinct(), ["device", "block_no"], "left_anti")
+    return D.track_rows(free, BLOCK, 0).select("device", "seq", "op", "offset")
+
+
+@query(twin(f"""select a.id, m.slot, m.slot is not null as found, lower(hex(b.data)) as data from v_addr a left join {_MAPPED} m on m.id = a.id left join v_base b on b.block_no = m.slot""", "v_addr", "v_base"))
+def read_by_id(spark, d):
+    got = D.read_ids(bind.addresses(spark, d), _mapped(spark, d), bind.base(spark, d))
+    return got.select("id", "slot", "found", F.lower(F.hex("data")).alias("data"))
+
+
+@query(twin(f"select id, slot from {_MAPPED} where slot * {BLOCK} < 100000 and (slot + 1) * {BLOCK} > 20000 union all select -1, 5", "v_addr"))
+def id_map_range(spark, d):
+    added = spark.createDataFrame([(-1, 5)], "id long, slot long")
+    return D.map_for_range(D.merge_map(_mapped(spark, d), added), 20000, 80000, BLOCK)
+
+
+@query(twin(f"select snapshot, addr_start, addr_end, pathname, 'path' as how from v_maps where pathname = 'dev1' union all select *, 'range' from v_maps where addr_start = {4 * BLOCK} and addr_end = {6 * BLOCK} union all select *, 'page' from v_maps where addr_start <= {8 * BLOCK} and addr_end >= {9 * BLOCK}", "v_maps"))
+def maps_find(spark, d):
+    m = bind.maps(spark, d)
+    found = {"path": D.find_path(m, "dev1"), "range": D.find_range(m, 4 * BLOCK, 6 * BLOCK), "page": D.find_page(m, 8 * BLOCK)}
+    return found["path"].withColumn("how", F.lit("path")).union(found["range"].withColumn("how", F.lit("range"))).union(found["page"].withColumn("how", F.lit("page")))
+
+
+@query(twin(f"""select page_addr from v_pages where present and page % 5 = 1""", "v_pages"))
+def frame_dirty(spark, d):
+    pages = R.flags(bind.page_flags(spark, d)).withColumn("pfn", F.expr(f"page_addr div {BLOCK}"))
+    frames = pages.selectExpr("pfn", "if(pfn % 5 = 1, 16L, 32L) as kflags")
+    return D.dirty_by_frame(pages, frames).select("page_addr")
+
+
+@query(twin("""select b.block_no, lower(hex(coalesce(o.data, unhex(repeat('00', 16))))) as data from v_base b left join v_overlay o on o.block_no = b.block_no""", "v_base", "v_overlay"))
+def object_store_read(spark, d):
+    base = bind.base(spark, d)
+    return D.fill_zeroes(bind.overlay(spark, d), base.select("block_no"), 1 << 60, 16).select("block_no", F.lower(F.hex("data")).alias("data"))
+
+
+@query(twin("""select block_no as seq, 'W' as op, block_no * 16 as "offset", sha256(data) as hash from v_base where ltrim(hex(data), '0') <> ''""", "v_base"))
+def device_to_log(spark, d):
+    log = D.device_log(bind.base(spark, d).withColumn("device", F.lit(0)), 16)
+    return log.select("seq", "op", "offset", F.sha2("data", 256).alias("hash"))
+
+
+@query(twin("select block_no, case when ltrim(hex(data), '0') = '' then repeat('0', 64) else sha256(data) end as hash from v_base", "v_base"))
+def check_device(spark, d):
+    return H.zero_marked_hashes(bind.base(spark, d).withColumn("device", F.lit(0)), 16).select("block_no", "hash")
+
+
+@query(twin("""select string_agg(case when low = high then low::varchar else low || '-' || high end, ' ' order by low) as text from (select min(block_no) as low, max(block_no) as high from
+  (select block_no, block_no - row_number() over (order by block_no) as g from v_base where ltrim(hex(data), '0') <> '') group by g)""", "v_base"))
+def check_device_map(spark, d):
+    return S.short_text(bind.base(spark, d).where(~B.is_zero(F.col("data"))).select("block_no"))
+
+
+@query(twin("select device, seq, (epoch_us(ts) - min(epoch_us(ts)) over (partition by device)) * 1000 as dt_ns from v_oplog", "v_oplog"))
+def log_times(spark, d):
+    return D.timed(bind.oplog(spark, d)).select("device", "seq", "dt_ns")
+
+
+@query(twin(f"""select device, op, 'metrics' as subsystem, metric, value from (unpivot (select device, op, count(*) as n_ops, cast(sum(length) as bigint) as n_bytes, count(*) filter (not ok) as n_errors,
+  cast(sum(case when ok or op = 'SYNC' then micros else 0 end) as bigint) as micros from {_TIMED} group by all) on n_ops, n_bytes, n_errors, micros into name metric value value)""", "v_oplog"))
+def metric_samples(spark, d):
+    return D.to_samples(M.op_metrics(_timed(spark, d)), ["device", "op"], "metrics")
+
+
+@query(twin("select device, arg_max(value, event_id) as value from v_samples where (device, ts) in (select device, max(ts) from v_samples group by device) group by device", "v_samples"))
+def instant_values(spark, d):
+    return D.instant(bind.samples(spark, d), ["device"], ["ts", "event_id"]).withColumn("value", F.col("value").cast("long"))
+
+
+@query(twin("select distinct device from v_samples", "v_samples"))
+def label_values(spark, d):
+    return bind.samples(spark, d).select("device").distinct()
