@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +42,33 @@ def flush_order(buffered: DataFrame, target: int) -> DataFrame:
     return rows.where((F.col("left") + F.col("bytes") >= target) | (F.col("_n") == 1)).select("device", "block_no", "bytes", "left")
 
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block's writes, last first: those inside an interval seen before. Seen intervals are kept as a staircase,
+    starts and ends both rising, so it is never longer than a block has bytes."""
+    now, starts, ends = None, [], []
+    for batch in batches:
+        out = []
+        for device, block_no, seq, a, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if (device, block_no) != now:
+                now, starts, ends = (device, block_no), [], []
+            b = a + n
+            k = bisect_right(starts, a)
+            if k and ends[k - 1] >= b:
+                out.append((device, block_no, seq))
+                continue
+            k = stop = bisect_left(starts, a)
+            while stop < len(ends) and ends[stop] <= b:
+                stop += 1
+            starts[k:stop], ends[k:stop] = [a], [b]
+        columns = list(zip(*out)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["device", "block_no", "seq"])
+
+
 def discarded_writes(touched: DataFrame) -> DataFrame:
-    """Buffered writes that a later write to the block covers wholly: ``device, block_no, seq``."""
-    w = touched.where("op = 'W'").select("device", "block_no", "seq", "rel_offset", "part_len")
-    a, b = w.alias("a"), w.alias("b")
-    covers = (F.col("b.seq") > F.col("a.seq")) & (F.col("b.rel_offset") <= F.col("a.rel_offset")) & (F.col("b.rel_offset") + F.col("b.part_len") >= F.col("a.rel_offset") + F.col("a.part_len"))
-    return a.join(b, (F.col("a.device") == F.col("b.device")) & (F.col("a.block_no") == F.col("b.block_no")) & covers, "left_semi").select("a.device", "a.block_no", "a.seq")
+    """Buffered writes that a later write to the block covers wholly: ``device, block_no, seq``.
+
+    Each block's writes stream by from the last to the first, with state bounded by the block's size; no pairs are formed.
+    """
+    columns = [F.col(c).cast("long") for c in ("device", "block_no", "seq", "rel_offset", "part_len")]
+    rows = touched.where("op = 'W'").select(*columns).repartition("device", "block_no").sortWithinPartitions("device", "block_no", F.desc("seq"))
+    return rows.mapInArrow(_covered, "device long, block_no long, seq long")

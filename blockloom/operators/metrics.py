@@ -30,12 +30,26 @@ def size_histogram(ops: DataFrame) -> DataFrame:
     return frame.join(counts, ["device", "op", "le"], "left").select("device", "op", "le", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def concurrency(ops: DataFrame) -> DataFrame:
+def prefix_sum(rows: DataFrame, keys: list[str], at: str, order: list[str], value: str, width: int) -> DataFrame:
+    """Adds ``running``: the sum of ``value`` up to each row in ``order``, which starts with ``at``.
+
+    Stretches of ``width`` along ``at`` are summed first and their sums scanned, then each stretch is scanned on its own: the
+    rows of a key are spread over tasks, however many it has.
+    """
+    rows = rows.withColumn("_part", F.expr(f"{at} div {width}"))
+    sums = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum(value).over(within)).join(sums, [*keys, "_part"])
+    return rows.withColumn("running", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
+def concurrency(ops: DataFrame, width: int = 1 << 20) -> DataFrame:
     """``device, n_started, in_flight_sum``: at each start, operations in flight with itself, summed. From ``device, seq, start, stop``."""
     events = ops.select("device", F.col("start").alias("t"), F.lit(1).alias("d"), "seq").union(ops.select("device", F.col("stop").alias("t"), F.lit(-1).alias("d"), "seq"))
-    w = Window.partitionBy("device").orderBy("t", "d", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    flying = events.withColumn("flying", F.sum("d").over(w)).where("d = 1")
-    return flying.groupBy("device").agg(F.count("*").alias("n_started"), F.sum("flying").alias("in_flight_sum"))
+    flying = prefix_sum(events, ["device"], "t", ["t", "d", "seq"], "d", width).where("d = 1")
+    return flying.groupBy("device").agg(F.count("*").alias("n_started"), F.sum("running").alias("in_flight_sum"))
 
 
 def changed_only(samples: DataFrame, series: list[str], order: list[str], value: str = "value") -> DataFrame:

@@ -274,7 +274,7 @@ _FLOW = "(select device, seq, seq * 10 as start, seq * 10 + length as stop from
 @query(twin(f"""select device, count(*) as n_started, cast(sum(flying) as bigint) as in_flight_sum from (select device, d, sum(d) over (partition by device order by t, d, seq rows between unbounded preceding and current row) as flying
   from (select device, start as t, 1 as d, seq from {_FLOW} union all select device, stop, -1, seq from {_FLOW})) where d = 1 group by device""", "v_oplog"))
 def op_concurrency(spark, d):
-    return M.concurrency(bind.oplog(spark, d).selectExpr("device", "seq", "seq * 10 as start", "seq * 10 + length as stop"))
+    return M.concurrency(bind.oplog(spark, d).selectExpr("device", "seq", "seq * 10 as start", "seq * 10 + length as stop"), 1000)
 
 
 @query(twin("""select device, seq, length from (select *, coalesce(lag(length) over (partition by device order by seq), 0) as p from (select device, seq, length // 512 as length from v_oplog)) where length is distinct from p""", "v_oplog"))
