@@ -49,7 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing will read again."""
+    _remove(table.sparkSession, table._scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:
