@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.scratch import materialize
+from blockloom.scratch import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = materialize(_oriented(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))), "links")
     before = None
     while True:
-        links = materialize(_small_star(_large_star(links)), "links")
+        old, links = links, materialize(_small_star(_large_star(links)), "links")
+        discard(old)
         after = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break
