@@ -5,39 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: States: 0 untracked, 1 tracked, 2 dirty. What each operation makes of them, and where it emits the block.
+from blockloom.operators.blocks import touches
+from blockloom.operators.metrics import prefix_sum
+
+#: States: 0 untracked, 1 tracked, 2 dirty. What each operation makes of them; a sync emits what it finds dirty.
 MOVES = {"R": (1, 1, 2), "TRACK": (1, 1, 2), "W": (0, 2, 2), "SYNC": (0, 1, 0)}
 SEGMENT = 4096  # sequence numbers folded at a time
 
 
-def dirty_fold(touched: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """``device, block_no, tracked, dirty, n_emitted, last_write`` after a log whose SYNC rows are already spread to blocks.
+def with_epochs(ops: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Adds ``epoch``: how many syncs of its device came up to each operation."""
+    marked = ops.withColumn("_sync", F.when(F.col("op") == "SYNC", 1).otherwise(0))
+    return prefix_sum(marked, ["device"], "seq", ["seq"], "_sync", width).withColumnRenamed("running", "epoch").drop("_sync")
+
+
+def dirty_fold(ops: DataFrame, size: int, block: int, segment: int = SEGMENT) -> DataFrame:
+    """``device, block_no, tracked, dirty, n_emitted, last_write`` of each touched block after a log of operations.
 
     Reading or tracking a block tracks it, a write to a tracked block makes it dirty, a sync emits the dirty blocks and stops
-    tracking them; writes before tracking are not seen. The outcome depends on the order of operations, but
-    operations are maps of three states and maps compose: each segment of a block's log is folded into one map (with
-    the emissions and the last seen write for each state it may start in), and the segments' maps into the block's
-    outcome. No block needs its whole log in one row.
+    tracking them; writes before tracking are not seen. Syncs are not spread to blocks: between two operations of a
+    block any number of syncs does what one does, so a block only compares the operations' epochs.
+
+    The outcome depends on the order of operations, but operations are maps of three states and maps compose: each
+    segment of a block's log is folded into one map (with the emissions and the last seen write for each state it may
+    start in), and the segments' maps into the block's outcome. No block needs its whole log in one row.
     """
-    rows = touched.select("device", "block_no", "seq", "op", "ts", F.expr(f"seq div {segment}").alias("part"))
-    lists = rows.groupBy("device", "block_no", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "ts"))).alias("ops"))
-    move = "case " + " ".join(f"when x.op = '{op}' then element_at(array({', '.join(map(str, to))}), a.s + 1)" for op, to in MOVES.items()) + " else a.s end"
+    timed = with_epochs(ops)
+    totals = timed.groupBy("device").agg(F.max("epoch").alias("total"))
+    rows = touches(timed.where("op <> 'SYNC'"), size, block).select("device", "block_no", "seq", "op", "ts", "epoch", F.expr(f"seq div {segment}").alias("part"))
+    lists = rows.groupBy("device", "block_no", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "ts", "epoch"))).alias("ops"))
+    emits = "if({now} > a.e and a.s = 2, 1, 0)"
+    state = "if({now} > a.e and a.s = 2, 0, a.s)"
+    inner, outer = state.format(now="x.epoch"), state.format(now="x.first")
+    move = "case x.op " + " ".join(f"when '{op}' then element_at(array({', '.join(map(str, MOVES[op]))}), {inner} + 1)" for op in ("R", "TRACK", "W")) + f" else {inner} end"
     fold = (
-        "aggregate(ops, named_struct('s', {start}, 'n', 0L, 'w', cast(null as timestamp_ntz)), (a, x) -> named_struct("
-        f"'s', {move}, 'n', a.n + if(x.op = 'SYNC' and a.s = 2, 1, 0), 'w', if(x.op = 'W' and a.s > 0, x.ts, a.w)))"
+        "aggregate(ops, named_struct('s', {start}, 'n', 0L, 'w', cast(null as timestamp_ntz), 'e', ops[0].epoch), (a, x) -> named_struct("
+        f"'s', {move}, 'n', a.n + {emits.format(now='x.epoch')}, 'w', if(x.op = 'W' and {inner} > 0, x.ts, a.w), 'e', x.epoch))"
     )
-    maps = lists.select("device", "block_no", "part", F.array(*(F.expr(fold.format(start=s)) for s in range(3))).alias("m"))
-    chain = maps.groupBy("device", "block_no").agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("c"))
+    ends = [F.expr("ops[0].epoch").alias("first"), F.expr("element_at(ops, -1).epoch").alias("last")]
+    maps = lists.select("device", "block_no", "part", *ends, F.array(*(F.expr(fold.format(start=s)) for s in range(3))).alias("m"))
+    chain = maps.groupBy("device", "block_no").agg(F.array_sort(F.collect_list(F.struct("part", "first", "last", "m"))).alias("c"))
+    took = f"element_at(x.m, {outer} + 1)"
     end = F.expr(
-        "aggregate(c, named_struct('s', 0, 'n', 0L, 'w', cast(null as timestamp_ntz)), (a, x) -> named_struct("
-        "'s', element_at(x.m, a.s + 1).s, 'n', a.n + element_at(x.m, a.s + 1).n, 'w', coalesce(element_at(x.m, a.s + 1).w, a.w)))"
+        "aggregate(c, named_struct('s', 0, 'n', 0L, 'w', cast(null as timestamp_ntz), 'e', 0L), (a, x) -> named_struct("
+        f"'s', {took}.s, 'n', a.n + {emits.format(now='x.first')} + {took}.n, 'w', coalesce({took}.w, a.w), 'e', x.last))"
     )
-    got = chain.withColumn("e", end)
-    return got.select("device", "block_no", (F.col("e.s") >= 1).alias("tracked"), (F.col("e.s") == 2).alias("dirty"), F.col("e.n").alias("n_emitted"), F.col("e.w").alias("last_write"))
+    got = chain.withColumn("e", end).join(totals, "device")
+    last = (F.col("total") > F.col("e.e")) & (F.col("e.s") == 2)
+    now = F.when(last, 0).otherwise(F.col("e.s"))
+    return got.select("device", "block_no", (now >= 1).alias("tracked"), (now == 2).alias("dirty"), (F.col("e.n") + F.when(last, 1).otherwise(0)).alias("n_emitted"), F.col("e.w").alias("last_write"))
 
 
 def spread_syncs(touched: DataFrame, ops: DataFrame) -> DataFrame:
-    """``touched`` without its SYNC rows and with one for each block of the device that the log touches and each sync of it."""
+    """For streams, whose state is kept by block: ``touched`` without its SYNC rows and with one for each block that the log
+    touches and each sync of its device."""
     seen = touched.where("op <> 'SYNC'").select("device", "block_no").distinct()
     syncs = ops.where("op = 'SYNC'").select("device", "seq", "op", "ts").join(seen, "device")
     return touched.where("op <> 'SYNC'").select("device", "block_no", "seq", "op", "ts").union(syncs.select("device", "block_no", "seq", "op", "ts"))

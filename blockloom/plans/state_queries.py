@@ -74,8 +74,7 @@ v_state as (select device, block_no, list_reduce(list_prepend({'t': 0, 'n': 0, '
 
 
 def _state(spark, d):
-    ops = bind.oplog(spark, d)
-    return T.dirty_fold(T.spread_syncs(_touched(spark, d), ops), 1024)
+    return T.dirty_fold(bind.oplog(spark, d), SIZE, BLOCK, 1024)
 
 
 def _with_state(body: str) -> str:

@@ -69,8 +69,7 @@ def test_short_text(spark):
 
 
 def dirty(spark, rows, size, block):
-    log = ops(spark, rows)
-    return T.dirty_fold(T.spread_syncs(B.touches(log, size, block), log), 2)
+    return T.dirty_fold(ops(spark, rows), size, block, 2)
 
 
 def test_dirty_tracker(spark):

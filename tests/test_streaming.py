@@ -16,7 +16,7 @@ def touched(spark, path):
     rows = T.spread_syncs(B.touches(log, 40960, 4096).select("device", "block_no", "seq", "op", "ts"), log)
     for k in range(3):
         rows.where(F.col("seq").between(10 * k, 10 * k + 9)).coalesce(1).write.mode("append").parquet(path)
-    return rows
+    return rows, log
 
 
 def run(query, name, tmp_path, mode="append"):
@@ -26,24 +26,24 @@ def run(query, name, tmp_path, mode="append"):
 
 def test_stream_equals_batch(spark, tmp_path):
     path = str(tmp_path / "log")
-    rows = touched(spark, path)
+    rows, log = touched(spark, path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
     run(track_dirty(stream), "dirty", tmp_path)
     got = {(r.device, r.block_no): r.n for r in spark.table("dirty").groupBy("device", "block_no").agg(F.count("*").alias("n")).collect()}
-    want = {(r.device, r.block_no): r.n_emitted for r in T.dirty_fold(rows, 4).where("n_emitted > 0").collect()}
+    want = {(r.device, r.block_no): r.n_emitted for r in T.dirty_fold(log, 40960, 4096, 4).where("n_emitted > 0").collect()}
     assert got == want and got
 
 
 def test_windows_drop_late_rows(spark, tmp_path):
     path = str(tmp_path / "log")
-    rows = touched(spark, path)
+    rows, _ = touched(spark, path)
     run(sliding_volatility(spark.readStream.schema(rows.schema).parquet(path), "10 minutes", "5 minutes", "1 minute"), "windows", tmp_path)
     assert spark.table("windows").where("n > 0").count() > 0
 
 
 def test_synchronised_table(spark, tmp_path):
     path = str(tmp_path / "log")
-    rows = touched(spark, path)
+    rows, _ = touched(spark, path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path).where("op = 'W'")
     copy = lambda blocks: blocks.withColumn("hash", F.concat_ws("-", "device", "block_no")).withColumn("ok", F.col("block_no") != 2)
     q = synchronise(stream, str(tmp_path / "status"), copy, str(tmp_path / "cp")).trigger(availableNow=True).start()
