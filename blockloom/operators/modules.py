@@ -17,7 +17,8 @@ def gate(ops: DataFrame, locks: DataFrame, reads_too: bool = False) -> DataFrame
     """
     rows = ops.select("device", "seq", "op", F.lit(None).cast("boolean").alias("locked")).union(locks.select("device", "seq", F.lit(None).cast("string").alias("op"), "locked"))
     back = Window.partitionBy("device").orderBy("seq", F.col("op").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("device").orderBy("seq", F.col("op").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, so that the frame grows from its start: a frame that shrinks is computed anew for each row.
+    ahead = Window.partitionBy("device").orderBy(F.desc("seq"), F.col("op").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("held", F.coalesce(F.last("locked", ignorenulls=True).over(back), F.lit(False)))
     rows = rows.withColumn("free", F.min(F.when(~F.col("locked"), F.col("seq"))).over(ahead)).where("op is not null")
     waits = F.col("held") & (F.lit(True) if reads_too else F.col("op") == "W")
