@@ -37,7 +37,7 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, shar
     got = got.withColumn("cap", F.col("source_size") * F.lit(float(most)))
     up = Window.orderBy(F.col("cap") / F.col("weight"), _grown("source"))
     before = F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing))
+    after = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     left = F.sum("source_size").over(everything) * F.lit(float(share)) - before
     got = got.withColumn("level", left / after).withColumn("full", F.col("cap") <= F.col("weight") * F.col("level"))
     level = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
