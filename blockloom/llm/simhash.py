@@ -109,8 +109,13 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def _grouped(prints: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` for materialised ``doc_id, fp``."""
+    return grouped(prints, near_pairs(prints.select("fp").distinct()))
+
+
+def grouped(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """The same for any links ``(a, b)`` between values of ``fp``."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = materialize(connected_components(near_pairs(distinct.select("fp"))), "roots")
+    roots = materialize(connected_components(links), "roots")
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "named")
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -124,12 +129,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Between rows of one group that share this doc_id the smallest row hash decides, and of wholly equal rows one
     stays. Groups are found on fingerprints alone; texts are shuffled once, by keys that don't repeat.
     """
-    prints = materialize(fingerprints(docs), "prints")
-    grouped = materialize(_grouped(prints), "grouped")
+    return keep_lowest(docs, _grouped(materialize(fingerprints(docs), "prints")))
+
+
+def keep_lowest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``keep_one`` for ``doc_id, row_hash, fp, component_id`` of all rows."""
+    groups = materialize(groups, "grouped")
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), F.col("row_hash").alias("h"))
     # A group is its component's smallest id; components without any id keep their fingerprints apart.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    copies = grouped.groupBy(group.alias("g"), ranked.alias("r")).agg(F.count("*").alias("n"))
+    copies = groups.groupBy(group.alias("g"), ranked.alias("r")).agg(F.count("*").alias("n"))
     best = copies.groupBy("g").agg(F.min(F.struct("r", "n")).alias("b")).select(F.col("b.r.i").alias("q_id"), F.col("b.r.h").alias("q_hash"), F.col("b.n").alias("q_n"))
     names = docs.columns
     row = F.xxhash64(*(F.col(f"`{c}`") for c in names))
