@@ -60,6 +60,12 @@ def allocate(mapped: DataFrame, wanted: DataFrame, n_slots: int) -> DataFrame:
     return mapped.select("id", "slot").union(fresh.join(free, "n", "left").select("id", "slot"))
 
 
+def slots_for(mapped: DataFrame, wanted: DataFrame) -> int:
+    """Slots that hold all mapped and new ids: up to the highest mapped slot, and one more for each new id."""
+    fresh = wanted.select("id").distinct().join(mapped.select("id"), "id", "left_anti")
+    return mapped.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0] + fresh.count()
+
+
 def allocate_run(mapped: DataFrame, n: int, n_slots: int) -> DataFrame:
     """``slot``: the start of the first run of ``n`` free slots, a run at the very end included; empty if there is none."""
     free = mapped.sparkSession.range(n_slots).select(F.col("id").alias("slot")).join(mapped.select("slot"), "slot", "left_anti")

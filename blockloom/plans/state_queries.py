@@ -189,6 +189,14 @@ def id_map_alloc(spark, d):
     return R.allocate(_mapped(spark, d), bind.addresses(spark, d), 1200)
 
 
+@query(twin(f"""select id, slot from {_MAPPED} union all select n.id, f.slot from (select id, row_number() over (order by id) as k from v_addr where id % {3 * BLOCK} <> 0) n
+  left join (select s as slot, row_number() over (order by s) as k from (select unnest(range(0, (select 2 * count(*) from v_addr))) as s) where s not in (select slot from {_MAPPED})) f on f.k = n.k""", "v_addr"))
+def id_map_alloc_all(spark, d):
+    """``id_map_alloc`` with as many slots as the table needs."""
+    mapped, ids = _mapped(spark, d), bind.addresses(spark, d)
+    return R.allocate(mapped, ids, R.slots_for(mapped, ids))
+
+
 @query(twin(f"select id, slot, row_number() over (order by id) - 1 as new_slot from {_MAPPED}", "v_addr"))
 def defrag(spark, d):
     return R.defragment(_mapped(spark, d))
