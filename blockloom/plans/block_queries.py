@@ -230,3 +230,11 @@ def zero_extents(spark, d):
 def short_text(spark, d):
     t = B.touches(bind.oplog(spark, d).where("op = 'W' and seq % 7 = 0"), SIZE, BLOCK)
     return S.short_text(t.select("device", "block_no").distinct(), "device")
+
+
+@query(twin("""select device, string_agg(case when low = high then low::varchar else low || '-' || high end, ' ' order by low) as text from (select device, min(block_no) as low, max(block_no) as high from
+  (select device, block_no, block_no - row_number() over (partition by device order by block_no) as g from (select distinct device, block_no from v_touch where op = 'W')) group by device, g) group by device""", "v_touch"))
+def short_text_all(spark, d):
+    """``short_text`` of all writes."""
+    t = B.touches(bind.oplog(spark, d).where("op = 'W'"), SIZE, BLOCK)
+    return S.short_text(t.select("device", "block_no").distinct(), "device")

@@ -1,6 +1,11 @@
 """Queries that take all rows of their tables."""
 
 from blockloom.operators import ranges as R
+from blockloom.operators import sets as S
+from blockloom.plans import registry
+from tests.test_entry import DATA
+
+QUERIES = registry.queries()
 
 
 def test_slots_for_all_ids(spark):
@@ -9,3 +14,20 @@ def test_slots_for_all_ids(spark):
     assert R.slots_for(mapped, wanted) == 12 and R.slots_for(mapped.limit(0), wanted) == 10
     got = {r.id: r.slot for r in R.allocate(mapped, wanted, R.slots_for(mapped, wanted)).collect()}
     assert got == {0: 0, 1: 2, 2: 4, 3: 5, 4: 6, 5: 1, 6: 7, 7: 3, 8: 8, 9: 9}
+
+
+def written(spark):
+    """Blocks written on each device, by plain loops over the log."""
+    from blockloom.plans import bind
+
+    got = {}
+    for r in bind.oplog(spark, DATA).collect():
+        got.setdefault(r.device, set())
+        if r.op == "W" and r.length > 0:
+            got[r.device] |= {*range(r.offset // bind.BLOCK, (min(r.offset + r.length, bind.SIZE) - 1) // bind.BLOCK + 1)}
+    return got
+
+
+def test_short_text_has_every_written_block(spark):
+    got = {r.device: {b.block_no for b in S.load_short_text(spark.createDataFrame([(r.text,)], "text string")).collect()} for r in QUERIES["short_text_all"](spark, DATA).collect()}
+    assert got == {d: b for d, b in written(spark).items() if b}
