@@ -56,6 +56,15 @@ def zero_extent(blocks: DataFrame, start: int, end: int) -> DataFrame:
     return clear.agg(F.coalesce(F.min("block_no"), F.lit(start)).cast("long").alias("first"), F.coalesce(F.max("block_no") + 1, F.lit(start)).cast("long").alias("stop"))
 
 
+def zero_extents(blocks: DataFrame, keys: DataFrame, start: int, end: int, *groups: str) -> DataFrame:
+    """``zero_extent`` of each group of ``keys``, those without any set block included."""
+    keys = keys.select(*groups).distinct()
+    places = F.sequence(F.lit(start), F.lit(end - 1)) if end > start else F.array().cast("array<int>")
+    clear = keys.withColumn("block_no", F.explode(places.cast("array<long>"))).join(blocks, [*groups, "block_no"], "left_anti")
+    found = clear.groupBy(*groups).agg(F.min("block_no").alias("first"), (F.max("block_no") + 1).alias("stop"))
+    return keys.join(found, [*groups], "left").select(*groups, *(F.coalesce(c, F.lit(start)).cast("long").alias(c) for c in ("first", "stop")))
+
+
 def keep_where(blocks: DataFrame, predicate) -> DataFrame:
     """Visit set blocks and clear those for which ``predicate(column)`` is false."""
     return blocks.where(predicate(F.col("block_no")))

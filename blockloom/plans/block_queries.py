@@ -238,3 +238,11 @@ def short_text_all(spark, d):
     """``short_text`` of all writes."""
     t = B.touches(bind.oplog(spark, d).where("op = 'W'"), SIZE, BLOCK)
     return S.short_text(t.select("device", "block_no").distinct(), "device")
+
+
+@query(twin(f"""select d.device, coalesce(min(c.block_no), 0) as first, coalesce(max(c.block_no) + 1, 0) as stop from (select distinct device from v_oplog) d
+  left join (select device, unnest(range(0, {BLOCKS})) as block_no from (select distinct device from v_oplog) except select device, block_no from v_touch where op = 'W') c on c.device = d.device group by d.device""", "v_touch"))
+def zero_extents_all(spark, d):
+    """``zero_extents`` of all devices' whole write sets."""
+    ops = bind.oplog(spark, d)
+    return S.zero_extents(B.touches(ops.where("op = 'W'"), SIZE, BLOCK), ops, 0, BLOCKS, "device")

@@ -31,3 +31,13 @@ def written(spark):
 def test_short_text_has_every_written_block(spark):
     got = {r.device: {b.block_no for b in S.load_short_text(spark.createDataFrame([(r.text,)], "text string")).collect()} for r in QUERIES["short_text_all"](spark, DATA).collect()}
     assert got == {d: b for d, b in written(spark).items() if b}
+
+
+def test_zero_extents_of_each_device(spark):
+    blocks = spark.createDataFrame([(1, 0), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3)], "device long, block_no long")
+    keys = spark.createDataFrame([(1,), (2,), (3,), (3,)], "device long")
+    assert sorted(map(tuple, S.zero_extents(blocks, keys, 0, 4, "device").collect())) == [(1, 1, 3), (2, 0, 0), (3, 0, 4)]
+    assert {r.stop for r in S.zero_extents(blocks, keys, 5, 5, "device").collect()} == {5}
+    clear = {d: sorted({*range(256)} - b) for d, b in written(spark).items()}
+    want = {(d, c[0] if c else 0, c[-1] + 1 if c else 0) for d, c in clear.items()}
+    assert {tuple(r) for r in QUERIES["zero_extents_all"](spark, DATA).collect()} == want
