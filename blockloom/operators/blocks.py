@@ -40,6 +40,28 @@ def last_writes(touched: DataFrame) -> DataFrame:
     return touched.where("op = 'W' and complete").groupBy("device", "block_no").agg(F.max("seq").alias("seq"))
 
 
+def write_fold_bytes(touched: DataFrame, cell: int = 64) -> DataFrame:
+    """How many bytes of each block every write shows in the end, whatever their overlap: ``device, block_no, seq, bytes``.
+
+    The last writer of a byte is a maximum, so writes fold apart: whole cells of a block are one row each, and the bytes
+    around them, less than two cells a write, one row each. Writes that show nothing have no row.
+    """
+    key = ["device", "block_no"]
+    rows = touched.where("op = 'W' and part_len > 0").selectExpr(*key, "seq", "cast(rel_offset as long) as a", "cast(rel_offset + part_len as long) as z")
+    rows = rows.withColumns({"c0": F.expr(f"(a + {cell - 1}) div {cell}"), "c1": F.expr(f"z div {cell}")})
+    whole = rows.where("c1 > c0").select(*key, "seq", F.explode(F.expr("sequence(c0, c1 - 1)")).alias("cell")).groupBy(*key, "cell").agg(F.max("seq").alias("top"))
+    edges = F.expr(f"if(c1 <= c0, sequence(a, z - 1), if(a < c0 * {cell}, sequence(a, c0 * {cell} - 1), cast(array() as array<bigint>)))")
+    tails = F.expr(f"if(c1 > c0 and z > c1 * {cell}, sequence(c1 * {cell}, z - 1), cast(array() as array<bigint>))")
+    bytes_ = rows.select(*key, "seq", F.explode(F.concat(edges, tails)).alias("byte")).groupBy(*key, "byte").agg(F.max("seq").alias("seq"))
+    bytes_ = bytes_.withColumn("cell", F.expr(f"byte div {cell}"))
+    # A cell's bytes are its own but for those that a later write took one by one.
+    taken = bytes_.join(whole, [*key, "cell"], "left").where("top is null or seq > top")
+    one = taken.groupBy(*key, "seq").agg(F.count("*").alias("n"))
+    lost = taken.where("top is not null").groupBy(*key, "cell").agg(F.count("*").alias("lost"))
+    left = whole.join(lost, [*key, "cell"], "left").select(*key, F.col("top").alias("seq"), (cell - F.coalesce("lost", F.lit(0))).alias("n"))
+    return one.union(left).groupBy(*key, "seq").agg(F.sum("n").alias("bytes")).where("bytes > 0")
+
+
 def write_extent(touched: DataFrame) -> DataFrame:
     """Union of the byte ranges written to each block: how many bytes are covered, by an ordered scan of interval ends.
 

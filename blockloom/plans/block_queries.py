@@ -42,6 +42,12 @@ def write_fold_last(spark, d):
     return B.last_writes(B.touches(bind.oplog(spark, d), SIZE, BLOCK))
 
 
+@query(twin(f"""select device, block_no, seq, count(*) as bytes from (select device, block_no, byte, max(seq) as seq from (select device, block_no, seq,
+  unnest(range(greatest("offset", block_no * {BLOCK}), least("offset" + length, {SIZE}, (block_no + 1) * {BLOCK}))) as byte from v_touch where op = 'W') group by all) group by all""", "v_touch"))
+def write_fold_bytes(spark, d):
+    return B.write_fold_bytes(B.touches(bind.oplog(spark, d), SIZE, BLOCK))
+
+
 @query(twin(f"""select device, block_no, count(*) as bytes from (select distinct device, block_no, unnest(range(greatest("offset", block_no * {BLOCK}), least("offset" + length, {SIZE}, (block_no + 1) * {BLOCK}))) as byte
   from v_touch where op = 'W') group by all""", "v_touch"))
 def write_extent(spark, d):
@@ -158,6 +164,14 @@ def cow_write(spark, d):
     return O.write_through(base, bind.overlay(spark, d), parts[0].union(parts[1])).select("block_no", F.lower(F.hex("data")).alias("data"))
 
 
+@query(twin("""select b.block_no, lower(hex(coalesce(o.data, b.data))[1:8] || hex('wx'::blob) || hex(coalesce(o.data, b.data))[13:32]) as data from v_base b left join v_overlay o on o.block_no = b.block_no""", "v_base", "v_overlay"))
+def cow_write_all(spark, d):
+    """``cow_write`` to all blocks."""
+    base = bind.base(spark, d)
+    parts = [base.select("block_no", F.lit(k).alias("seq"), F.lit(4 + (k > 1)).alias("rel_offset"), F.lit(x).cast("binary").alias("part")) for k, x in ((1, "wy"), (2, "x"))]
+    return O.write_through(base, bind.overlay(spark, d), parts[0].union(parts[1])).select("block_no", F.lower(F.hex("data")).alias("data"))
+
+
 _WRITES = f"(select device, block_no * {BLOCK} as o, octet_length(data) as length, sha256(data) as hash, block_no from v_blocks)"
 
 

@@ -151,6 +151,14 @@ def heatmap_p2p(spark, d):
     return V.transfer_heatmap(marks, BLOCKS)
 
 
+@query(twin(f"""select part, p as n_p2p, a as n_alt, u as n_dup, cast(case when u > 0 then 2 * {BLOCKS // 64} + u when a > 0 then 4 * {BLOCKS // 64} + a else p end as bigint) as value from (select cast(block_no * 64 // {BLOCKS} as int) as part,
+  count(*) filter (op = 'R') as p, count(*) filter (op = 'TRACK') as a, count(*) filter (op = 'W') as u from v_touch where op in ('R', 'TRACK', 'W') group by all)""", "v_touch"))
+def heatmap_p2p_all(spark, d):
+    """``heatmap_p2p`` with every write as a duplicate."""
+    marks = _touched(spark, d).selectExpr("block_no", "case op when 'R' then 'p2p' when 'TRACK' then 'alt' when 'W' then 'dup' end as kind").where("kind is not null")
+    return V.transfer_heatmap(marks, BLOCKS)
+
+
 _RUNS = "(select *, page - row_number() over (order by page) as g from v_pages where dirty and (present or swapped))"
 
 
@@ -338,6 +346,16 @@ def progress(spark, d):
     return Y.progress(blocks, t.where("op = 'R'"), t.where("op = 'W' and seq % 3 = 0"))
 
 
+@query(twin(f"""select device, {BLOCKS}::bigint as total, count(*) filter (m) as n_migrated, count(*) filter (m and not w) as n_ready, count(*) filter (m) * 1000000 // {BLOCKS} as migrated_ppm from
+  (select b.device, b.block_no, bool_or(coalesce(t.op = 'R', false)) as m, bool_or(coalesce(t.op = 'W', false)) as w from (select device, unnest(range(0, {BLOCKS})) as block_no from (select distinct device from v_oplog)) b
+  left join v_touch t on t.device = b.device and t.block_no = b.block_no group by all) group by device""", "v_touch"))
+def progress_all(spark, d):
+    """``progress`` with every written block as dirty."""
+    t = _touched(spark, d)
+    blocks = t.select("device").distinct().withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    return Y.progress(blocks, t.where("op = 'R'"), t.where("op = 'W'"))
+
+
 @query(twin("""select device, block_no, max(case when ok then seq end) is not null as is_set, max(seq) as updating_id, max(case when ok then seq end) as current_id, 'h' || max(case when ok then seq end) as current_hash
   from (select *, seq % 17 <> 0 as ok from v_touch where op = 'W') group by all""", "v_touch"))
 def sync_status(spark, d):

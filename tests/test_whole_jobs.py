@@ -1,5 +1,8 @@
 """Queries that take all rows of their tables."""
 
+import random
+
+from blockloom.operators import blocks as B
 from blockloom.operators import ranges as R
 from blockloom.operators import sets as S
 from blockloom.plans import registry
@@ -41,3 +44,31 @@ def test_zero_extents_of_each_device(spark):
     clear = {d: sorted({*range(256)} - b) for d, b in written(spark).items()}
     want = {(d, c[0] if c else 0, c[-1] + 1 if c else 0) for d, c in clear.items()}
     assert {tuple(r) for r in QUERIES["zero_extents_all"](spark, DATA).collect()} == want
+
+
+def test_every_write_has_its_mark_and_its_blocks(spark):
+    from blockloom.plans import bind
+
+    t = B.touches(bind.oplog(spark, DATA), bind.SIZE, bind.BLOCK)
+    marks = sum(r.n_dup for r in QUERIES["heatmap_p2p_all"](spark, DATA).collect())
+    assert marks == t.where("op = 'W'").count() > 0
+    reads = {}
+    for r in t.where("op = 'R'").collect():
+        reads.setdefault(r.device, set()).add(r.block_no)
+    ready = {r.device: r.n_ready for r in QUERIES["progress_all"](spark, DATA).collect()}
+    assert ready == {d: len(reads.get(d, set()) - b) for d, b in written(spark).items()}
+    got = QUERIES["cow_write_all"](spark, DATA).collect()
+    assert len(got) == bind.base(spark, DATA).count() and all(r.data[8:12] == b"wx".hex() for r in got)
+
+
+def test_write_fold_of_bytes(spark):
+    rng = random.Random(4)
+    rows = [(d, 0, s, "W" if s % 9 else "R", a, rng.randint(0, 300 - a)) for s in range(1, 60) for d in range(2) for a in [rng.choice([0, 16, rng.randrange(300)])]]
+    df = spark.createDataFrame(rows, "device long, block_no long, seq long, op string, rel_offset long, part_len long")
+    want = {}
+    for d in range(2):
+        shown = {b: s for dev, _, s, op, a, n in rows if dev == d and op == "W" for b in range(a, a + n)}
+        for s in shown.values():
+            want[d, 0, s] = want.get((d, 0, s), 0) + 1
+    for cell in (1, 16, 64, 512):
+        assert {tuple(r)[:3]: r.bytes for r in B.write_fold_bytes(df, cell).collect()} == want
