@@ -57,7 +57,8 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
 
     Pages are first counted by host and general segments. The tree then grows level by level: rare children of a
     crowded node become a wildcard, and so do children whose blocked rate, over all their pages, can't be told from the
-    node's. A template's purity is the blocked part of its labelled pages, smoothed towards the overall rate.
+    node's. A template's purity is the blocked part of its labelled pages, smoothed towards the overall rate; without
+    labelled pages it is that rate and rejects nothing.
     """
     counts = pages.groupBy("q_host", "q_segments").agg(F.count("*").alias("n"), F.sum(F.coalesce("blocked", F.lit(0))).alias("bad"), F.count("blocked").alias("known"))
     counts = materialize(counts, "paths")
@@ -79,8 +80,8 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     overall = seen.bad / seen.known if seen.known else 0.0
     sums = tree.groupBy("q_host", "template").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
     purity = (F.col("bad") + SMOOTHING * overall) / (F.col("known") + SMOOTHING)
-    sums = sums.select("q_host", "template", purity.alias("purity"))
-    return tree.select("q_host", "q_segments", "template").join(sums, ["q_host", "template"]).withColumn("rejected", F.col("purity") >= PURE)
+    sums = sums.select("q_host", "template", "known", purity.alias("purity"))
+    return tree.select("q_host", "q_segments", "template").join(sums, ["q_host", "template"]).withColumn("rejected", (F.col("known") > 0) & (F.col("purity") >= PURE)).drop("known")
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -31,3 +31,8 @@ def test_templates_reject_by_purity(spark):
     assert rows[0].verdict == "block" and rows[0].template.startswith("/ads")
     assert rows[103].rule is None and rows[103].verdict == "allow"
     assert judge_urls(df.limit(0), rules).count() == 0
+
+
+def test_templates_without_labels_reject_nothing(spark):
+    got = judged(spark, [f"http://spam.net/{k}" for k in range(40)] + ["http://clean.com/a", "http://clean.com/b", "nothing", None])
+    assert [v for *_, v in got] == ["block"] * 40 + ["allow"] * 4
