@@ -9,7 +9,6 @@ from blockloom.scratch import materialize
 
 #: (rule, verdict); a rule is a host and a path that starts with its first slash.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DEPTH = 6
 #: A node with more different children than this keeps those literal that have at least this part of its pages.
 CHILDREN, PART = 20, 0.05
 #: A child whose rate of blocked pages is within so many standard errors of its parent's is merged with its like.
@@ -39,7 +38,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH path segments with numbers, dates, long hexadecimal strings and identifiers as wildcards of their kind; the rest as one."""
+    """All path segments, with numbers, dates, long hexadecimal strings and identifiers as wildcards of their kind."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
 
     def general(x: Column) -> Column:
@@ -48,14 +47,13 @@ def segments(path: Column) -> Column:
         x = F.regexp_replace(x, r"\b(?=[a-f]*[0-9])[0-9a-f]{12,}\b", "<hex>")
         return F.regexp_replace(x, r"[0-9]+", "<n>")
 
-    named = F.transform(F.slice(parts, 1, DEPTH), general)
-    return F.when(F.size(parts) > DEPTH, F.concat(named, F.array(F.lit("<rest>")))).otherwise(named)
+    return F.transform(parts, general)
 
 
 def template_verdicts(pages: DataFrame) -> DataFrame:
     """``q_host, q_segments`` -> ``template, purity, rejected`` from ``q_host, q_segments, blocked`` (1, 0 or null) of all pages.
 
-    Pages are first counted by host and general segments. The tree then grows level by level: rare children of a
+    Pages are first counted by host and general segments. The tree then grows level by level, as deep as the paths are: rare children of a
     crowded node become a wildcard, and so do children whose blocked rate, over all their pages, can't be told from the
     node's. A template's purity is the blocked part of its labelled pages, smoothed towards the overall rate; without
     labelled pages it is that rate and rejects nothing.
@@ -63,7 +61,8 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     counts = pages.groupBy("q_host", "q_segments").agg(F.count("*").alias("n"), F.sum(F.coalesce("blocked", F.lit(0))).alias("bad"), F.count("blocked").alias("known"))
     counts = materialize(counts, "paths")
     tree = counts.withColumn("template", F.lit(""))
-    for k in range(DEPTH + 1):
+    depth = counts.agg(F.max(F.size("q_segments"))).first()[0] or 0
+    for k in range(depth):
         seg = F.element_at(F.col("q_segments"), k + 1)
         tree = tree.withColumn("seg", F.when(F.size("q_segments") > k, seg).otherwise(F.lit("")))
         child = tree.groupBy("q_host", "template", "seg").agg(F.sum("n").alias("cn"), F.sum("bad").alias("cb"))

@@ -36,3 +36,11 @@ def test_templates_reject_by_purity(spark):
 def test_templates_without_labels_reject_nothing(spark):
     got = judged(spark, [f"http://spam.net/{k}" for k in range(40)] + ["http://clean.com/a", "http://clean.com/b", "nothing", None])
     assert [v for *_, v in got] == ["block"] * 40 + ["allow"] * 4
+
+
+def test_templates_differ_below_the_sixth_segment(spark):
+    rules = (("example.com/a/b/c/d/e/f/bad/x", "block"), ("example.com/a/b/c/d/e/f/good/x", "allow"))
+    urls = [f"http://example.com/a/b/c/d/e/f/{kind}/{x}" for kind in ("bad", "good") for x in ["x"] * 40 + ["y"]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r.page_id: r for r in judge_urls(df, rules).collect()}
+    assert rows[0].template != rows[41].template and rows[0].template.startswith("/") and "rest" not in rows[0].template
