@@ -43,17 +43,18 @@ class _Pieces(dict):
 class WordIds(dict):
     """White-space-separated word (UTF-8) -> its ids. Words with unusual characters go through the library's own path."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, special: bool = False):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.pieces = _Pieces(self.tokenizer)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
         text = word.decode()
-        if len(text) < 200 and _PLAIN(text):
+        if len(text) < 200 and _PLAIN(text) and not (self.marks and any(m in text.lower() for m in self.marks)):
             ids = b"".join(map(self.pieces.__getitem__, _SPLIT(text.lower())))
         else:
             ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -66,15 +67,15 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
-_LOADED: dict[int, WordIds] = {}
+_LOADED: dict[tuple[int, bool], WordIds] = {}
 
 
-def word_ids(vocabulary: str) -> WordIds:
-    """One tokenizer for each worker process and vocabulary."""
-    key = hash(vocabulary)
+def word_ids(vocabulary: str, special: bool = False) -> WordIds:
+    """One tokenizer for each worker process and vocabulary; with ``special``, special tokens written in a text are those, as by the library's default."""
+    key = hash(vocabulary), special
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = WordIds(vocabulary)
+        _LOADED[key] = WordIds(vocabulary, special)
     return _LOADED[key]
 
 

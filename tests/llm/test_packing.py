@@ -82,3 +82,15 @@ def test_documents(spark, monkeypatch):
 @pytest.mark.parametrize("same", [1, 2048])
 def test_one_length_alone(same):
     assert max(s + n for *_, s, n, _ in plan({same: 10_000})) == -(-10_000 * same // 2048)
+
+
+def test_special_tokens_in_texts_are_the_librarys(spark):
+    from blockloom.llm.packing import token_pieces
+    from blockloom.llm.wordtok import word_ids
+
+    tok, fast = Tokenizer.from_str(default_vocabulary()), word_ids(default_vocabulary(), special=True)
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>x <|ENDOFTEXT|> <|end oftext|>", "a <| b |> c", "plain words"]
+    for t in texts:
+        assert np.frombuffer(fast.ids(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    got = token_pieces(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).first()
+    assert got.length == len(tok.encode(texts[0], add_special_tokens=False).ids) + 1
