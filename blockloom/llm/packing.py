@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,8 +21,10 @@ SMALL_PART = 5
 GROUPS = 64
 #: Farley's bound: the linear programme is solved to within this part of its optimum.
 GAP = 1e-3
-#: Tokens that a filled configuration may waste.
-TOLERANCES = (0, 1, 2, 4, 8, 16, 64)
+#: Parts of the configured sequences that a repair may open, tried in turn until no plan can be shorter.
+REPAIR = (0.01, 0.02, 0.04, 0.08)
+#: Most placement rows that are broadcast.
+PLAN_ROWS = 1 << 18
 END = (0).to_bytes(4, "little")
 #: Pieces of one length that share a rank range, roughly.
 RANK_ROWS = 2048
@@ -153,63 +155,114 @@ class _Bins:
         return [run for room in self.rooms for run in self.by_room[room]]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_part: int = SMALL_PART) -> list[tuple[int, int, int, int, int, int]]:
-    """``length -> how many`` to placement rows ``(length, first_rank, end_rank, first_sequence, sequences, offset)``.
-
-    Piece ``r`` of its length, first_rank <= r < end_rank, goes to sequence ``first_sequence + (r - first_rank) %
-    sequences`` at ``offset + (r - first_rank) // sequences * length``. Both the input and the result are bounded by
-    the capacity, whatever the number of documents.
-    """
-    left = {int(k): int(v) for k, v in histogram.items() if v}
-    full = left.pop(capacity, 0)
-    large = sorted(k for k in left if k * small_part > capacity)
-    total = sum(left[k] for k in large)
-    # Linear grouping: groups of equal cardinality in order of length; a group's size is its largest length.
-    members: list[list[list[int]]] = []
-    room = 0
-    for length in large:
-        n = left[length]
+class _Stock:
+    """Pieces by length, of which the longest that fits is taken."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.counts, self.lengths = dict(counts), sorted(counts)
+
+    def longest(self, room: int, drawn: Counter) -> int | None:
+        k = bisect_right(self.lengths, room) - 1
+        while k >= 0 and self.counts[self.lengths[k]] <= drawn[self.lengths[k]]:
+            if not self.counts[self.lengths[k]]:
+                self.lengths.pop(k)
+            k -= 1
+        return self.lengths[k] if k >= 0 else None
+
+    def fill(self, slots: list[int], capacity: int, times: int) -> tuple[int, list[int]]:
+        """``(how many, lengths)`` of up to ``times`` equal sequences: each slot but the last takes the longest piece of
+        its size or less, the last the longest that the real lengths of the others leave room for."""
+        parts: list[int] = []
+        drawn: Counter = Counter()
+        for k, size in enumerate(slots):
+            room = capacity - sum(parts)
+            length = self.longest(room if k == len(slots) - 1 else min(size, room), drawn)
+            if length is None:
+                break
+            parts.append(length)
+            drawn[length] += 1
+        step = min([times, *(self.counts[x] // n for x, n in drawn.items())])
+        for length, n in drawn.items():
+            self.counts[length] -= n * step
+        return step, parts
+
+    def rest(self) -> dict[int, int]:
+        return {k: n for k, n in self.counts.items() if n}
+
+
+def grouped_sizes(counts: dict[int, int], groups: int) -> tuple[list[int], list[int]]:
+    """Linear grouping: ``sizes, demand`` of groups of equal cardinality in order of length, each as long as its longest."""
+    demand: dict[int, int] = {}
+    members, room, each = [], 0, -(-sum(counts.values()) // groups)
+    for length in sorted(counts):
+        n = counts[length]
         while n:
             if not room:
-                members.append([])
-                room = -(-total // groups)
+                members.append([length, 0])
+                room = each
             part = min(n, room)
-            members[-1].append([length, part])
+            members[-1] = [length, members[-1][1] + part]
             n, room = n - part, room - part
-    merged: dict[int, list[list[int]]] = {}
-    for group in members:
-        merged.setdefault(group[-1][0], []).extend(group)
-    sizes = sorted(merged)
-    demand = [sum(n for _, n in merged[s]) for s in sizes]
-    # Substitution: real lengths of each group, longest first, fill its slots; equal fillings stay one run.
-    filled: list[tuple[int, list[int]]] = []
-    for times, counts in configurations(sizes, demand, capacity):
+    for size, n in members:
+        demand[size] = demand.get(size, 0) + n
+    return list(demand), list(demand.values())
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_part: int = SMALL_PART) -> tuple[_Bins, int, int]:
+    """``(sequences, configured, kept)`` for ``length -> how many``.
+
+    Large lengths are grouped and rounded up, and the programme's configurations are filled with real pieces, those of
+    few slots first. Small pieces then go where they leave the least room. Where that needs more sequences than the total size asks
+    for, the emptiest ones, up to a part of REPAIR, are opened and all their pieces best-fitted. ``kept`` counts each of them as configured.
+    """
+    left = {int(k): int(v) for k, v in histogram.items() if v}
+    least = -(-sum(k * n for k, n in left.items()) // capacity)
+    full = left.pop(capacity, 0)
+    large = {k: n for k, n in left.items() if k * small_part > capacity}
+    sizes, demand = grouped_sizes(large, groups)
+    stock, filled = _Stock(large), []
+    for times, counts in sorted(configurations(sizes, demand, capacity), key=lambda c: sum(c[1])):
+        slots = [s for s, c in zip(reversed(sizes), reversed(counts)) for _ in range(c)]
         while times:
-            step, parts = _fill(merged, sizes, counts, times)
+            step, parts = stock.fill(slots, capacity, times)
             if not parts:
                 break
             filled.append((step, parts))
             times -= step
-    rest = {k: n for k, n in left.items() if k not in large}
-    for stock in merged.values():
-        for length, n in stock:
-            rest[length] = rest.get(length, 0) + n
-    # A real filling that wastes more than the tolerance is dissolved again; the best tolerance is kept.
-    best = None
-    for waste in (*TOLERANCES, capacity):
-        bins, loose = _Bins(capacity), dict(rest)
-        bins.add(full, capacity, [(capacity, 1)])
-        for step, parts in filled:
-            if sum(parts) >= capacity - waste:
-                bins.add(step, sum(parts), sorted(Counter(parts).items()))
-            else:
-                for length in parts:
-                    loose[length] = loose.get(length, 0) + step
+    rest = {k: n for k, n in left.items() if k not in large} | stock.rest()
+    configured = sum(step for step, _ in filled)
+    first = _Bins(capacity)
+    first.add(full, capacity, [(capacity, 1)])
+    for step, parts in filled:
+        first.add(step, sum(parts), sorted(Counter(parts).items()))
+    for length in sorted(rest, reverse=True):
+        first.best_fit(length, rest[length])
+    best, kept = first, configured
+    for share in REPAIR:
+        if best.total() == least:
+            break
+        bins, loose, still = _Bins(capacity), Counter(), int(configured * share)
+        for count, used, parts in reversed(first.runs()):
+            n = min(count, still)
+            still -= n
+            bins.add(count - n, used, parts)
+            for length, each in parts:
+                loose[length] += n * each
         for length in sorted(loose, reverse=True):
             bins.best_fit(length, loose[length])
-        if best is None or bins.total() < best.total():
-            best = bins
-    bins = best
+        if bins.total() < best.total():
+            best, kept = bins, configured - int(configured * share)
+    return best, configured, kept
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_part: int = SMALL_PART) -> list[tuple[int, int, int, int, int, int]]:
+    """``length -> how many`` to placement rows ``(length, first_rank, end_rank, first_sequence, sequences, offset)``.
+
+    Piece ``r`` of its length, first_rank <= r < end_rank, goes to sequence ``first_sequence + (r - first_rank) %
+    sequences`` at ``offset + (r - first_rank) // sequences * length``. Both the input and the result are bounded by
+    the capacity, whatever the number of documents.
+    """
+    bins, _, _ = solve(histogram, capacity, groups, small_part)
     rows, ranks, sequence = [], dict.fromkeys(histogram, 0), 0
     for count, _, parts in bins.runs():
         at = 0
@@ -222,48 +275,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return rows
 
 
-def _fill(merged: dict[int, list[list[int]]], sizes: list[int], counts: list[int], times: int) -> tuple[int, list[int]]:
-    """Take real lengths for up to ``times`` equal sequences of one configuration out of the groups."""
-    parts: list[int] = []
-    drawn: dict[tuple[int, int], int] = {}
-    for s, c in zip(sizes, counts):
-        k = len(merged[s]) - 1
-        for _ in range(c):
-            while k >= 0 and drawn.get((s, k), 0) >= merged[s][k][1]:
-                k -= 1
-            if k < 0:
-                break
-            drawn[s, k] = drawn.get((s, k), 0) + 1
-            parts.append(merged[s][k][0])
-    step = min([times, *(merged[s][k][1] // n for (s, k), n in drawn.items())])
-    for (s, k), n in drawn.items():
-        merged[s][k][1] -= n * step
-    for s in {s for s, _ in drawn}:
-        merged[s] = [x for x in merged[s] if x[1]]
-    return step, parts
-
-
 def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Adds ``sequence_id, offset`` to materialised ``pieces(doc_id, piece, length, ...)``.
 
     Only the histogram of lengths (at most ``capacity`` rows) reaches the driver, and only the placement plan,
     whose size depends on the capacity alone, is broadcast. A piece finds its place by its rank among the pieces of
-    its length. Ranks are counted in ranges by a hash of doc_id, so that a length that a third of all pieces
-    have is spread over all tasks. Which of equal rows comes first doesn't matter.
+    its length. Ranks are counted in ranges by a hash of doc_id, as many as a length's number of pieces asks for, so that a length
+    that a third of all pieces have is spread over all tasks. Which of equal rows comes first doesn't matter.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    total = sum(histogram.values())
-    ranges = min(4096, max(1, -(-total // RANK_ROWS)))
-    rows = pieces.withColumn("rank_range", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(ranges)))
+    ranges = spark.createDataFrame([(k, -(-n // RANK_ROWS)) for k, n in histogram.items()], "len long, ranges long")
+    rows = pieces.join(ranges, F.col("length") == F.col("len")).withColumn("rank_range", F.expr("pmod(xxhash64(doc_id, piece), ranges)")).drop("len", "ranges")
     sums = rows.groupBy("length", "rank_range").agg(F.count("*").alias("n"))
     scan = Window.partitionBy("length").orderBy("rank_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "rank_range", F.coalesce(F.sum("n").over(scan), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "rank_range").orderBy("doc_id", "piece")
     rows = rows.withColumn("place", F.row_number().over(within)).join(sums, ["length", "rank_range"])
     rows = rows.withColumn("rank", F.col("before") + F.col("place") - 1).drop("rank_range", "before", "place")
-    table = spark.createDataFrame(plan(histogram, capacity, groups), "len long, r0 long, r1 long, s0 long, n long, o0 long")
-    rows = rows.join(F.broadcast(table), (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
+    planned = plan(histogram, capacity, groups)
+    table = spark.createDataFrame(planned, "len long, r0 long, r1 long, s0 long, n long, o0 long")
+    rows = rows.join(F.broadcast(table) if len(planned) <= PLAN_ROWS else table, (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
     k = F.col("rank") - F.col("r0")
     return rows.withColumn("sequence_id", F.col("s0") + k % F.col("n")).withColumn("offset", F.col("o0") + F.expr("(rank - r0) div n") * F.col("length")).drop("rank", "len", "r0", "r1", "s0", "n", "o0")
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blockloom.llm.packing import CAPACITY, configurations, pack_documents, plan
+from blockloom.llm.packing import CAPACITY, SMALL_PART, configurations, grouped_sizes, pack_documents, plan, solve
 from blockloom.llm.wordtok import default_vocabulary
 
 
@@ -94,3 +94,22 @@ def test_special_tokens_in_texts_are_the_librarys(spark):
         assert np.frombuffer(fast.ids(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
     got = token_pieces(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).first()
     assert got.length == len(tok.encode(texts[0], add_special_tokens=False).ids) + 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_configured_sequences_stay(seed):
+    rng = random.Random(seed)
+    histogram = {}
+    for _ in range(4000):
+        n = min(CAPACITY - 1, max(1, int(rng.lognormvariate(6.5, 0.7))))
+        histogram[n] = histogram.get(n, 0) + 1
+    bins, configured, kept = solve(histogram)
+    pieces = [k for k, n in histogram.items() for _ in range(n)]
+    large = sum(n for k, n in histogram.items() if k * SMALL_PART > CAPACITY)
+    assert kept >= 0.9 * configured and configured * 5 >= large
+    assert bins.total() <= best_fit_decreasing(pieces, CAPACITY) + 1 and bins.total() <= -(-sum(pieces) // CAPACITY) + 2
+
+
+def test_rounding_up_in_equal_groups():
+    sizes, demand = grouped_sizes({500: 3, 510: 3, 700: 4, 900: 2}, 4)
+    assert sizes == [500, 510, 700, 900] and demand == [3, 3, 3, 3]
