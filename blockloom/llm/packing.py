@@ -21,10 +21,11 @@ SMALL_PART = 5
 GROUPS = 64
 #: Farley's bound: the linear programme is solved to within this part of its optimum.
 GAP = 1e-3
-#: Parts of the configured sequences that a repair may open, tried in turn until no plan can be shorter.
+#: Parts of the configured sequences, and FEW more, that a repair may open, tried in turn until no plan can be shorter.
 REPAIR = (0.01, 0.02, 0.04, 0.08)
 #: Most placement rows that are broadcast.
 PLAN_ROWS = 1 << 18
+FEW = 4
 END = (0).to_bytes(4, "little")
 #: Pieces of one length that share a rank range, roughly.
 RANK_ROWS = 2048
@@ -191,7 +192,10 @@ class _Stock:
 
 
 def grouped_sizes(counts: dict[int, int], groups: int) -> tuple[list[int], list[int]]:
-    """Linear grouping: ``sizes, demand`` of groups of equal cardinality in order of length, each as long as its longest."""
+    """Linear grouping: ``sizes, demand`` of groups of equal cardinality in order of length, each as long as its longest;
+    no more lengths than groups stay as they are."""
+    if len(counts) <= groups:
+        return sorted(counts), [counts[k] for k in sorted(counts)]
     demand: dict[int, int] = {}
     members, room, each = [], 0, -(-sum(counts.values()) // groups)
     for length in sorted(counts):
@@ -212,7 +216,8 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GRO
     """``(sequences, configured, kept)`` for ``length -> how many``.
 
     Large lengths are grouped and rounded up, and the programme's configurations are filled with real pieces, those of
-    few slots first. Small pieces then go where they leave the least room. Where that needs more sequences than the total size asks
+    few slots first; a filling that lacks a large piece's room, as its
+    slots' own pieces have run out, is not used. Small pieces then go where they leave the least room. Where that needs more sequences than the total size asks
     for, the emptiest ones, up to a part of REPAIR, are opened and all their pieces best-fitted. ``kept`` counts each of them as configured.
     """
     left = {int(k): int(v) for k, v in histogram.items() if v}
@@ -220,28 +225,31 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GRO
     full = left.pop(capacity, 0)
     large = {k: n for k, n in left.items() if k * small_part > capacity}
     sizes, demand = grouped_sizes(large, groups)
-    stock, filled = _Stock(large), []
+    stock, filled, spare, configured = _Stock(large), [], Counter(), 0
     for times, counts in sorted(configurations(sizes, demand, capacity), key=lambda c: sum(c[1])):
         slots = [s for s, c in zip(reversed(sizes), reversed(counts)) for _ in range(c)]
         while times:
             step, parts = stock.fill(slots, capacity, times)
             if not parts:
                 break
-            filled.append((step, parts))
-            times -= step
-    rest = {k: n for k, n in left.items() if k not in large} | stock.rest()
-    configured = sum(step for step, _ in filled)
+            times, configured = times - step, configured + step
+            if (sum(slots) - sum(parts)) * small_part <= capacity:
+                filled.append((step, parts))
+            else:
+                spare.update({length: step * n for length, n in Counter(parts).items()})
+    rest = Counter({k: n for k, n in left.items() if k not in large}) + Counter(stock.rest()) + spare
     first = _Bins(capacity)
     first.add(full, capacity, [(capacity, 1)])
     for step, parts in filled:
         first.add(step, sum(parts), sorted(Counter(parts).items()))
     for length in sorted(rest, reverse=True):
         first.best_fit(length, rest[length])
-    best, kept = first, configured
+    used = sum(step for step, _ in filled)
+    best, kept = first, used
     for share in REPAIR:
         if best.total() == least:
             break
-        bins, loose, still = _Bins(capacity), Counter(), int(configured * share)
+        bins, loose, still = _Bins(capacity), Counter(), int(configured * share) + FEW
         for count, used, parts in reversed(first.runs()):
             n = min(count, still)
             still -= n
@@ -251,7 +259,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GRO
         for length in sorted(loose, reverse=True):
             bins.best_fit(length, loose[length])
         if bins.total() < best.total():
-            best, kept = bins, configured - int(configured * share)
+            best, kept = bins, max(0, used - int(configured * share) - FEW)
     return best, configured, kept
 
 
