@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.scratch import materialize
 
 #: (rule, verdict); a rule is a host and a path that starts with its first slash.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: A node with more different children than this keeps those literal that have at least this part of its pages.
-CHILDREN, PART = 20, 0.05
-#: A child whose rate of blocked pages is within so many standard errors of its parent's is merged with its like.
+#: A segment without labelled pages that has less than this part of its node's pages is variable and becomes a wildcard.
+PART = 0.05
+#: A segment whose blocked part of labelled pages is within so many standard errors of its node's is merged with its like.
 SIMILAR = 1.96
-#: Pseudo-pages of the overall rate that smooth a template's purity, and the purity that rejects it.
+#: Pseudo-pages with the parent's purity that smooth a node's, and the purity that rejects a template.
 SMOOTHING, PURE = 2.0, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,34 +53,55 @@ def segments(path: Column) -> Column:
 def template_verdicts(pages: DataFrame) -> DataFrame:
     """``q_host, q_segments`` -> ``template, purity, rejected`` from ``q_host, q_segments, blocked`` (1, 0 or null) of all pages.
 
-    Pages are first counted by host and general segments. The tree then grows level by level, as deep as the paths are: rare children of a
-    crowded node become a wildcard, and so do children whose blocked rate, over all their pages, can't be told from the
-    node's. A template's purity is the blocked part of its labelled pages, smoothed towards the overall rate; without
-    labelled pages it is that rate and rejects nothing.
+    Pages are first counted by host and general segments, then each host's tree grows level by level. Of a node's branches,
+    those with labelled pages whose blocked part can't be told from the node's become its wildcard branch, and with them
+    rare ones without labels; others stay literal. A path that no other shares a node with is done, so there
+    are as many rounds as paths of one host have in common, not as the longest has segments.
+
+    Purity is the blocked part of a node's labelled pages, smoothed towards its parent's: a host's towards that of all
+    pages, a branch's towards that of the node above. A branch without labels thus has its parent's, down
+    from its host's. A host without any labelled page rejects nothing.
+
+    Null hosts or segments count as empty ones, ties don't matter, repeated rows count as rows, other columns are
+    ignored and an empty table gives an empty result.
     """
-    counts = pages.groupBy("q_host", "q_segments").agg(F.count("*").alias("n"), F.sum(F.coalesce("blocked", F.lit(0))).alias("bad"), F.count("blocked").alias("known"))
+    host, path = F.coalesce("q_host", F.lit("")).alias("q_host"), F.coalesce("q_segments", F.array().cast("array<string>")).alias("q_segments")
+    counts = pages.select(host, path, "blocked").groupBy("q_host", "q_segments").agg(F.count("*").alias("n"), F.sum(F.coalesce("blocked", F.lit(0))).alias("bad"), F.count("blocked").alias("known"))
     counts = materialize(counts, "paths")
-    tree = counts.withColumn("template", F.lit(""))
-    depth = counts.agg(F.max(F.size("q_segments"))).first()[0] or 0
-    for k in range(depth):
-        seg = F.element_at(F.col("q_segments"), k + 1)
-        tree = tree.withColumn("seg", F.when(F.size("q_segments") > k, seg).otherwise(F.lit("")))
-        child = tree.groupBy("q_host", "template", "seg").agg(F.sum("n").alias("cn"), F.sum("bad").alias("cb"))
-        node = Window.partitionBy("q_host", "template")
-        child = child.withColumn("pn", F.sum("cn").over(node)).withColumn("pb", F.sum("cb").over(node)).withColumn("kids", F.count("*").over(node))
-        rate = F.col("pb") / F.col("pn")
-        error = F.sqrt(rate * (1 - rate) / F.col("cn"))
-        rare = (F.col("kids") > CHILDREN) & (F.col("cn") < PART * F.col("pn"))
-        alike = F.abs(F.col("cb") / F.col("cn") - rate) <= SIMILAR * error
-        name = F.when(F.col("seg") == "", "").when(rare | alike, F.lit("/*")).otherwise(F.concat(F.lit("/"), "seg"))
-        child = child.select("q_host", "template", "seg", name.alias("step"))
-        tree = materialize(tree.join(child, ["q_host", "template", "seg"]).withColumn("template", F.concat("template", "step")).drop("seg", "step"), f"tree{k}")
     seen = counts.agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).first()
     overall = seen.bad / seen.known if seen.known else 0.0
-    sums = tree.groupBy("q_host", "template").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-    purity = (F.col("bad") + SMOOTHING * overall) / (F.col("known") + SMOOTHING)
-    sums = sums.select("q_host", "template", "known", purity.alias("purity"))
-    return tree.select("q_host", "q_segments", "template").join(sums, ["q_host", "template"]).withColumn("rejected", (F.col("known") > 0) & (F.col("purity") >= PURE)).drop("known")
+    node = counts.groupBy("q_host").agg(F.sum("n").alias("pn"), F.sum("bad").alias("pb"), F.sum("known").alias("pk"), F.count("*").alias("paths"))
+    node = node.withColumn("purity", _smoothed(F.col("pb"), F.col("pk"), F.lit(overall))).withColumn("labelled", F.col("pk") > 0)
+    tree = materialize(counts.join(node, "q_host").withColumn("template", F.lit("")), "tree")
+    finished, k = [], 0
+    while True:
+        done = (F.size("q_segments") <= k) | (F.col("paths") == 1)
+        tail = F.when(F.size("q_segments") > k, F.concat(F.lit("/"), F.array_join(F.slice("q_segments", k + 1, F.greatest(F.size("q_segments") - k, F.lit(1))), "/"))).otherwise("")
+        finished.append(tree.where(done).select("q_host", "q_segments", F.concat("template", tail).alias("template"), "purity", "labelled"))
+        open_ = tree.where(~done)
+        if open_.isEmpty():
+            break
+        open_ = open_.withColumn("seg", F.element_at("q_segments", k + 1))
+        branch = open_.groupBy("q_host", "template", "seg").agg(F.sum("n").alias("bn"), F.sum("bad").alias("bb"), F.sum("known").alias("bk"), *(F.first(c).alias(c) for c in ("pn", "pb", "pk", "purity")))
+        rate = F.col("pb") / F.col("pk")
+        error = F.sqrt((F.col("pb") + 1) * (F.col("pk") - F.col("pb") + 1) / F.pow(F.col("pk") + 2, 2) / F.col("bk"))
+        alike = (F.col("bk") > 0) & (F.abs(F.col("bb") / F.col("bk") - rate) <= SIMILAR * error)
+        rare = (F.col("bk") == 0) & (F.col("bn") < PART * F.col("pn"))
+        branch = branch.withColumn("step", F.when(alike | rare, "/*").otherwise(F.concat(F.lit("/"), "seg"))).select("q_host", "template", "seg", "step")
+        moved = open_.join(branch, ["q_host", "template", "seg"]).withColumn("template", F.concat("template", "step"))
+        moved = moved.select("q_host", "q_segments", "n", "bad", "known", "template", "labelled", F.col("purity").alias("above"))
+        below = moved.groupBy("q_host", "template").agg(F.sum("n").alias("pn"), F.sum("bad").alias("pb"), F.sum("known").alias("pk"), F.count("*").alias("paths"), F.first("above").alias("above"))
+        below = below.withColumn("purity", _smoothed(F.col("pb"), F.col("pk"), F.col("above"))).drop("above")
+        k += 1
+        tree = materialize(moved.drop("above").join(below, ["q_host", "template"]), f"tree{k}")
+    found = finished[0]
+    for more in finished[1:]:
+        found = found.union(more)
+    return found.select("q_host", "q_segments", "template", "purity", (F.col("labelled") & (F.col("purity") >= PURE)).alias("rejected"))
+
+
+def _smoothed(bad: Column, known: Column, above: Column) -> Column:
+    return (bad + SMOOTHING * above) / (known + SMOOTHING)
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
