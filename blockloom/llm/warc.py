@@ -17,18 +17,19 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from blockloom.files import list_files, move, open_read, open_write, remove
-from blockloom.scratch import fresh_path
+from blockloom.scratch import fresh_path, materialize
 
-SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, content_length long, http_length long, headers map<string,string>, payload binary"
+SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, content_length long, http_length long, headers map<string,string>, payload binary, error string"
 _ARROW = pa.schema(
     [(c, pa.string()) for c in ("record_id", "record_type", "target_uri", "refers_to", "payload_digest")]
-    + [("content_length", pa.int64()), ("http_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
+    + [("content_length", pa.int64()), ("http_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("error", pa.string())]
 )
 #: Columns whose equality predicates are decided from a record's headers, before its payload is decoded.
 PUSHED = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 EPOCH = "1970-01-01T00:00:00Z"
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)")
-HEAD = 1 << 16
+HEAD, STEP, LONGEST_HEAD = 1 << 16, 1 << 22, 1 << 24
+GZIP, MARK = b"\x1f\x8b\x08", b"\r\n\r\nWARC/1."
 
 
 def gzip_member(data: bytes, level: int = 6) -> bytes:
@@ -41,12 +42,8 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 
 def _clean(value: str) -> str:
-    """A header value: control characters, which would end it, become percent signs with their code."""
-    return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", value)
-
-
-def _unclean(value: str) -> str:
-    return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 128 else m[0], value)
+    """A header value: control characters, which would end it, become percent signs with their code. Others stay as they are."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
 def record(record_type: str, record_id: str, url: str | None, digest: str, payload: bytes | None, length: int, refers_to: str | None = None) -> bytes:
@@ -87,11 +84,84 @@ def _bare(name: str, value: str | None) -> str | None:
         return value.strip("<>")
     if name == "warc-payload-digest":
         return value.rpartition(":")[2]
-    return _unclean(value) if name == "warc-target-uri" else value
+    return value
+
+
+class _Plain:
+    """Bytes of a file from a position on."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.damage = f, size, None
+
+    def read(self, at: int, n: int) -> bytes:
+        if at >= self.size:
+            return b""
+        self.f.seek(at)
+        return self.f.read(min(n, self.size - at))
+
+
+class _Inflated:
+    """Bytes of the gzip member that starts at ``at``, decoded as far as they are asked for; ``damage`` names what ended them early."""
+
+    def __init__(self, f, at: int, size: int):
+        self.f, self.at, self.size, self.damage = f, at, size, None
+        self._restart()
+
+    def _restart(self) -> None:
+        self.inflate, self.fed, self.begin, self.held = zlib.decompressobj(31), self.at, 0, b""
+
+    def _more(self) -> bool:
+        if self.inflate.eof or self.damage:
+            return False
+        raw = self.inflate.unconsumed_tail
+        if not raw and self.fed < self.size:
+            self.f.seek(self.fed)
+            raw = self.f.read(min(HEAD, self.size - self.fed))
+            self.fed += len(raw)
+        if not raw:
+            self.damage = "gzip member ends early"
+            return False
+        try:
+            self.held += self.inflate.decompress(raw, STEP)
+        except zlib.error:
+            self.damage = "gzip member is damaged"
+            return False
+        return True
+
+    def read(self, at: int, n: int) -> bytes:
+        if at < self.begin:
+            damage, self.damage = self.damage, None
+            self._restart()
+            got = self.read(at, n)
+            self.damage = self.damage or damage
+            return got
+        parts, want = [], n
+        while want:
+            if at > self.begin:  # what lies before isn't asked for any more
+                drop = min(at - self.begin, len(self.held))
+                self.held, self.begin = self.held[drop:], self.begin + drop
+            if at == self.begin and self.held:
+                parts.append(self.held[:want])
+                want, at = want - len(parts[-1]), at + len(parts[-1])
+            elif not self._more():
+                break
+        return b"".join(parts)
+
+    def after(self) -> int:
+        """Where the next member starts."""
+        while not self.inflate.eof and not self.damage:
+            self.held, self.begin = b"", self.begin + len(self.held)
+            self._more()
+        return self.fed - len(self.inflate.unused_data) if self.inflate.eof else self.size
 
 
 class _Records:
-    """Records of one archive, plain or one gzip member each: headers first, the rest only if they are wanted."""
+    """Records of one archive, plain or in gzip members of one record or more: headers first, the rest only if they are wanted.
+
+    Damage is a row with ``error``: a block that ends early, at the next record or the end of its member, gives what there is
+    of it; bytes that are no record are passed over up to the next record or member. With pushed predicates, damage
+    shows only where the headers that could be read satisfy them.
+    """
 
     def __init__(self, path: str, wanted: dict[str, set], payload: bool):
         self.path, self.wanted, self.payload = path, wanted, payload
@@ -104,67 +174,115 @@ class _Records:
             size, at = f.size(), 0
             while at < size:
                 f.seek(at)
-                start = f.read(min(HEAD, size - at))
-                if start[:2] == b"\x1f\x8b":
-                    row, step = self._member(f, at, start, size)
-                else:
-                    row, step = self._plain(f, at, start, size)
-                if step <= 0:
+                start = f.read(min(24, size - at))
+                if start[:2] != b"\x1f\x8b":
+                    if at:  # between members: look for the next
+                        at = yield from self._lost(f, at, size)
+                        continue
+                    yield from self._walk(_Plain(f, size), None)
                     return
-                at += step
-                if row is not None:
-                    yield row
-
-    def _member(self, f, at: int, start: bytes, size: int):
-        jump = struct.unpack_from("<HI", start, 14)[1] if len(start) >= 24 and start[3] & 4 and start[12:14] == b"sl" else 0
-        inflate = zlib.decompressobj(31)
-        data, fed = inflate.decompress(start, HEAD), len(start)
-        while (head := parse_head(data)) is None or (not jump and not inflate.eof) or (jump and self.payload and self._passes(head[0]) and not inflate.eof):
-            rest = inflate.unconsumed_tail
-            if not rest:
-                f.seek(at + fed)
-                rest = f.read(min(1 << 20, size - at - fed))
-                fed += len(rest)
-            if not rest:
-                break
-            more = inflate.decompress(rest, 1 << 22)
-            if head is None or (self.payload and self._passes(head[0])):
-                data += more
-        step = jump or fed - len(inflate.unused_data)
-        if head is None or not self._passes(head[0]):
-            return None, step
-        return self._row(head, data[head[1] :]), step
-
-    def _plain(self, f, at: int, start: bytes, size: int):
-        data = start
-        while (head := parse_head(data)) is None:
-            f.seek(at + len(data))
-            more = f.read(HEAD)
+                jump = struct.unpack_from("<HII", start, 14)[1:] if len(start) == 24 and start[3] & 4 and start[12:14] == b"sl" else None
+                source = _Inflated(f, at, size)
+                yield from self._walk(source, jump)
+                if jump and not source.damage:
+                    at += max(18, jump[0])
+                    continue
+                end = source.after()
+                at = (yield from self._lost(f, at + 2, size, source.damage)) if source.damage else end
+
+    def _lost(self, f, at: int, size: int, why: str = "bytes between gzip members"):
+        """The next place where a gzip member with a record starts, after a row that tells of the damage."""
+        if not self.wanted:
+            yield self._row(({}, 0), b"", why)
+        held, base = b"", at
+        while True:
+            found = held.find(GZIP)
+            if found >= 0:
+                if _Inflated(f, base + found, size).read(0, 5) == b"WARC/":
+                    return base + found
+                held, base = held[found + 1 :], base + found + 1
+                continue
+            keep = held[-2:]
+            f.seek(base + len(held))
+            more = f.read(HEAD) if base + len(held) < size else b""
             if not more:
-                return None, 0
+                return size
+            base, held = base + len(held) - len(keep), keep + more
+
+    def _head(self, source, at: int) -> tuple[dict[str, str], int] | None:
+        data = source.read(at, 4096)
+        while (head := parse_head(data)) is None and len(data) < LONGEST_HEAD:
+            more = source.read(at + len(data), max(4096, len(data)))
+            if not more:
+                return None
             data += more
-        length = int(head[0].get("content-length", 0))
-        step = head[1] + length + 4
-        if not self._passes(head[0]):
-            return None, step
-        need = head[1] + (length if self.payload else min(length, HEAD))
-        if len(data) < need:
-            f.seek(at + len(data))
-            data += f.read(need - len(data))
-        return self._row(head, data[head[1] :]), step
-
-    def _row(self, head: tuple[dict[str, str], int], block: bytes) -> tuple:
+        return head
+
+    def _next(self, source, at: int) -> int | None:
+        """Where the next record starts at ``at`` or later."""
+        held, base = source.read(at, len(MARK)), at
+        while True:
+            found = held.find(MARK)
+            if found >= 0:
+                return base + found + 4
+            more = source.read(base + len(held), HEAD)
+            if not more:
+                return None
+            keep = held[1 - len(MARK) :]
+            base, held = base + len(held) - len(keep), keep + more
+
+    def _walk(self, source, jump: tuple[int, int] | None) -> Iterator[tuple]:
+        at = 0
+        while True:
+            while (gap := source.read(at, 2)) in (b"\r\n", b"\n", b"\n\r", b"\n\n"):
+                at += 2 if gap == b"\r\n" else 1
+            if not gap:
+                return
+            head = self._head(source, at) if source.read(at, 5) == b"WARC/" else None
+            if head is None or not (declared := head[0].get("content-length", "")).isdigit():
+                if not self.wanted:
+                    yield self._row((head[0] if head else {}, 0), b"", source.damage or "no record")
+                at = self._next(source, at)
+                if at is None:
+                    return
+                continue
+            block, length = at + head[1], int(declared)
+            passes = self._passes(head[0])
+            lone = jump is not None and head[1] + length + 4 == jump[1]
+            data = source.read(block, length if self.payload else min(length, HEAD)) if passes else b""
+            if lone and (not passes or not self.payload):
+                if passes:
+                    yield self._row(head, data, None)
+                return
+            end = block + length
+            tail = source.read(end, 9)
+            error = None
+            if tail[:4] != b"\r\n\r\n" or (tail[4:] and not b"WARC/".startswith(tail[4:9])):
+                later = self._next(source, block)
+                if later is not None and later < end + 4:
+                    error, end = "block ends early, at the next record", later - 4
+                elif not tail:
+                    error, end = None if length == 0 or source.read(end - 1, 1) else source.damage or "block ends early", None
+                elif later is None and source.damage:
+                    error = source.damage
+            if passes:
+                yield self._row(head, data if end is None else data[: end - block], error)
+            if end is None:
+                return
+            at = end
+
+    def _row(self, head: tuple[dict[str, str], int], block: bytes, error: str | None = None) -> tuple:
         fields = head[0]
-        length = int(fields.get("content-length", 0))
-        block = block[:length]
+        declared = fields.get("content-length", "")
+        length = int(declared) if declared.isdigit() else None
         body, http = 0, None
         if "application/http" in fields.get("content-type", ""):
-            body = block.find(b"\r\n\r\n") + 4
+            body = max(0, block.find(b"\r\n\r\n") + 4) if b"\r\n\r\n" in block else len(block)
             found = _LENGTH.search(block, 0, body)
-            http = int(found[1]) if found else length - body
-        keep = self.payload and fields.get("warc-type") != "revisit"
+            http = int(found[1]) if found else (length or 0) - body
+        keep = self.payload and fields and fields.get("warc-type") != "revisit"
         named = tuple(_bare(w, fields.get(w)) for w in PUSHED.values())
-        return (*named, length, http, list(fields.items()), block[body:] if keep else None)
+        return (*named, length, http, list(fields.items()), block[body:] if keep else None, error)
 
 
 class _File(InputPartition):
@@ -205,7 +323,7 @@ class WarcReader(DataSourceReader):
         for path in partition.paths:
             for row in _Records(path, self.wanted, self.payload):
                 rows.append(row)
-                size += len(row[-1] or b"") + 500
+                size += len(row[-2] or b"") + 500
                 if size > 8 << 20:
                     yield self._batch(rows)
                     rows, size = [], 0
@@ -264,7 +382,11 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc")``: options ``payload`` (false: headers only), ``target`` (bytes a task)."""
+    """``spark.read.format("warc")``: options ``payload`` (false: headers only), ``target`` (bytes a task).
+
+    Fields that a record lacks are null, repeated records are rows like others, blocks are read whole whatever their length, a
+    folder without archives gives no row, and damage is a row with ``error`` (see ``_Records``).
+    """
 
     @classmethod
     def name(cls):
@@ -297,14 +419,16 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
 
     Of pages with equal payloads of ``least`` bytes or more, that with the largest page_id is written as response and the
     others as revisits of it. Rows that share this page_id are all responses; rows without page_id are
-    responses only where no copy has one. Largest ids are found on digests alone, pre-aggregated.
+    responses only where no copy has one, named by a digest of their url and payload. Largest ids are found on digests
+    alone, pre-aggregated.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), body.alias("payload")).withColumn("payload_digest", F.sha1("payload")).withColumn("http_length", F.octet_length("payload").cast("long"))
     last = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("d"), F.octet_length(body).alias("n")).where(F.col("n") >= least).groupBy("d").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").select("d", "last")
     rows = rows.join(last, F.col("payload_digest") == F.col("d"), "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    name = lambda c: F.when(F.col(c).isNull(), F.concat(F.lit("urn:uuid:"), F.expr("uuid()"))).otherwise(F.concat(F.lit("urn:page:"), F.col(c).cast("string")))
+    nameless = F.concat(F.lit("urn:md5:"), F.md5(F.concat_ws(" ", "payload_digest", "target_uri").cast("binary")))
+    name = lambda c: F.when(F.col(c).isNull(), nameless).otherwise(F.concat(F.lit("urn:page:"), F.col(c).cast("string")))
     rows = rows.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         name("page_id").alias("record_id"),
@@ -319,23 +443,31 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            number = lambda x: int(x.removeprefix("urn:page:")) if x and x.startswith("urn:page:") else None
-            if r["record_type"] == "response":
-                size, digest = len(r["payload"]), base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode()
-            else:
-                size, digest = r["http_length"], r["payload_digest"]
-            out.append((number(r["record_id"]), size, digest, r["record_type"], number(r["refers_to"])))
-        columns = list(zip(*out)) if out else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (2, 3) else pa.int64()) for k, c in enumerate(columns)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        payloads = [x.as_py() or b"" for x in batch.column(1)]
+        digests = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in payloads]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, payloads), pa.int64(), size=len(payloads)), pa.array(digests, pa.string())], ["record_id", "payload_bytes", "payload_digest"])
+
+
+def read_copies(spark: SparkSession, path: str) -> DataFrame:
+    """``record_id, payload_bytes, payload_digest, record_type, refers_to`` of the responses and revisits in archives.
+
+    Payloads are decoded and digested for responses alone, which the pushed record type selects. Revisits are read by
+    their headers, and have the size and digest of the response they refer to (null if the archives lack it).
+    """
+    archive = spark.read.format("warc")
+    responses = archive.load(path).where("record_type = 'response'").select("record_id", "payload")
+    responses = materialize(responses.mapInArrow(_digests, "record_id string, payload_bytes long, payload_digest string"), "responses")
+    revisits = archive.option("payload", "false").load(path).where("record_type = 'revisit'").select("record_id", "refers_to")
+    known = responses.groupBy(F.col("record_id").alias("id")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    revisits = revisits.join(known, F.col("refers_to") == F.col("id"), "left").select("record_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    return responses.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to")).union(revisits)
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Null urls leave their header out, null html is an empty payload, repeated rows give repeated records, other columns are
-    ignored, an empty table gives an empty result.
+    Null urls leave their header out, null html is an empty payload, repeated rows give repeated records, null ids stay null,
+    other columns are ignored, an empty table gives an empty result.
     """
     spark = pages.sparkSession
     register(spark)
@@ -345,5 +477,5 @@ def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
         list_files(path)
     except FileNotFoundError:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    records = spark.read.format("warc").load(path).select("record_id", "record_type", "payload_digest", "http_length", "refers_to", "payload")
-    return records.mapInArrow(_digests, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long").alias({"record_id": "page_id"}.get(c, c))
+    return read_copies(spark, path).select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
