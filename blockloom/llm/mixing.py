@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.llm.columns import row_hash, seal
 from blockloom.scratch import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of a source that share a leading part of their keys, roughly; sixteen times finer where it would be more.
 RANGE_ROWS = 1024
+#: Equal rows that one row with counts stands for where rows are repeated.
+COPIES = 64
 
 
 def n_words(text: Column) -> Column:
@@ -82,27 +85,41 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """``doc_id, size, source, source_size, target, taken`` of every document; see ``mix``."""
+    """``doc_id, size, source, source_size, target, taken`` of every document.
+
+    Null and empty texts have size 0, very long ones count whole; null ids and sources, ties, repeated rows and empty tables
+    are as in ``mix``; other columns are ignored.
+    """
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sized")
     return mix(sized, **how)
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its source's budget takes it, and the row that a budget ends in
-    with the words that are still due. Columns stay; a document without words is not taken.
+    with the words that are still due. Columns stay, whatever their names and types.
 
-    Wholly equal rows share what they take evenly. Texts are shuffled once, by a hash of the whole row.
+    Documents without words (null, empty) are not taken; null ids and sources are as in ``mix``; very long texts are rows like
+    others; an empty table gives an empty result. Wholly equal rows are taken each by itself, so that all but
+    one of a source's texts are whole: they shrink to one row before it is repeated, COPIES at a time, so no task
+    holds a hot row's copies alone.
     """
-    names = docs.columns
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in names))
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row.alias("q_hash")), "sized")
-    taken = mix(sized, **how).groupBy("q_hash").agg(F.sum("taken").alias("t"), F.count("*").alias("c"), F.max("size").alias("q_size"))
-    taken = taken.select("q_hash", "q_size", F.expr("t div c").alias("q_taken")).where("q_taken > 0")
-    rows = docs.withColumn("q_row", row).join(taken, F.col("q_row") == F.col("q_hash"))
-    rows = rows.withColumn("q_part", F.explode(F.expr("concat(array_repeat(0L, cast(q_taken div q_size as int)), filter(array(q_taken % q_size), x -> x > 0))")))
+    rows = seal(docs, "doc_id", "source", "text")
+    names = rows.columns
+    hashed = rows.withColumn("q_row", row_hash(rows))
+    sized = materialize(hashed.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.col("q_row").alias("q_hash")), "sized")
+    repeated = materialize(sized.groupBy(F.col("q_hash").alias("q_twin")).agg(F.count("*").alias("n")).where("n > 1").select("q_twin"), "repeated")
+    taken = mix(sized, **how).where("taken > 0").groupBy("q_hash", "size", "taken").agg(F.count("*").alias("q_n"))
+    taken = taken.withColumn("q_at", F.explode(F.expr(f"sequence(0L, q_n - 1, {COPIES}L)"))).select("q_hash", F.col("size").alias("q_size"), F.col("taken").alias("q_taken"), F.expr(f"cast(least(q_n - q_at, {COPIES}) as int)").alias("q_times"))
+    taken = materialize(taken, "taken")
+    twin = F.col("q_row") == F.col("q_twin")
+    once = hashed.join(repeated, twin, "left_semi").groupBy("q_row").agg(*(F.first(c).alias(c) for c in names))
+    alone = hashed.join(taken.join(repeated, F.col("q_hash") == F.col("q_twin"), "left_anti"), F.col("q_row") == F.col("q_hash"))
+    got = alone.unionByName(once.join(taken, F.col("q_row") == F.col("q_hash")))
+    parts = "flatten(array_repeat(concat(array_repeat(0L, cast(q_taken div q_size as int)), filter(array(q_taken % q_size), x -> x > 0)), q_times))"
+    got = got.withColumn("q_part", F.explode(F.expr(parts)))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
     part = F.concat_ws(" ", F.slice(words, F.lit(1), F.col("q_part").cast("int")))
-    return rows.withColumn("text", F.when(F.col("q_part") == 0, F.col("text")).otherwise(part)).select(*names)
+    return got.withColumn("text", F.when(F.col("q_part") == 0, F.col("text")).otherwise(part)).select(*names).toDF(*docs.columns)
 
 
 #: The same in DuckDB SQL; the water level is found by trying each number of full sources.

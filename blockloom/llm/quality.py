@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockloom.llm.columns import seal
 from blockloom.llm.textstats import text_stats
 from blockloom.scratch import materialize
 
@@ -24,9 +25,12 @@ P = len(FLOORS)
 HALF, CONSISTENT = 0.5, 1.912
 #: Chi-square quantile with 5 degrees at 1 - 1e-9: squared distances beyond it are rejected.
 CUT = 51.0
-#: Groups with fewer rows are estimated together.
-LEAST = 50
-STEPS = 3
+#: Rows that an estimate's parent (of a language and source: the language's; of a language: that of all rows) counts for.
+PRIOR = 50.0
+#: Concentration ends where no group's log determinant moves by more than this, or after so many steps.
+STILL, STEPS = 1e-3, 25
+#: Histogram bins for each doubling of the squared distance.
+FINE = 64
 
 
 def _add_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +67,10 @@ def _group() -> Column:
     return F.to_json(F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s")))
 
 
+def _language() -> Column:
+    return F.to_json(F.struct(F.col("lang").cast("string").alias("l")))
+
+
 def _squared_distance(mark: str = "") -> Column:
     x = [F.col(f"{mark}x{i}") - F.col(f"{mark}center")[i] for i in range(P)]
     total = F.lit(0.0)
@@ -72,66 +80,132 @@ def _squared_distance(mark: str = "") -> Column:
     return total
 
 
+def _matrix(upper) -> np.ndarray:
+    full = np.zeros((P, P))
+    full[np.triu_indices(P)] = upper
+    return full + np.triu(full, 1).T
+
+
+def _moments(x: str) -> list[Column]:
+    sums = F.array(*(F.sum(f"{x}{i}") for i in range(P))).alias(f"{x}_sums")
+    products = F.array(*(F.sum(F.col(f"{x}{i}") * F.col(f"{x}{j}")) for i in range(P) for j in range(i, P))).alias(f"{x}_products")
+    return [sums, products]
+
+
+def _estimate(pool: str, start: int, center: np.ndarray, cov: np.ndarray, old: float = np.inf) -> tuple:
+    cov = cov + np.diag(np.square(FLOORS))
+    return pool, start, center.tolist(), cov.ravel().tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), old
+
+
+FITTED = "pool string, start int, center array<double>, cov array<double>, inverse array<double>, logdet double, old double"
+_FITTED = [x.split()[0] for x in FITTED.split(", ")]
+
+
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Moments of each group's best part -> center and inverse of the regularised covariance."""
+    """Moments of each group's nearest part -> center, regularised covariance, its inverse and log determinant."""
     for got in batches:
         rows = []
         for r in got.itertuples(index=False):
-            mean = np.array(r.sums) / r.n
-            second = np.zeros((P, P))
-            second[np.triu_indices(P)] = np.array(r.products) / r.n
-            second = second + np.triu(second, 1).T
-            cov = CONSISTENT * (second - np.outer(mean, mean)) + np.diag(np.square(FLOORS))
-            rows.append((r.pool, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["pool", "center", "inverse"])
+            mean = np.array(r.x_sums) / r.n
+            rows.append(_estimate(r.pool, r.start, mean, CONSISTENT * (_matrix(np.array(r.x_products) / r.n) - np.outer(mean, mean)), r.old))
+        yield pd.DataFrame(rows, columns=_FITTED)
 
 
-PARAMETERS = "pool string, center array<double>, inverse array<double>"
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each group, from histograms of 1/100 steps: a bounded number of bins."""
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Three starts of each group: medians with quartile spreads, mean and covariance of all rows, and medians with the
+    correlation of rows after their distance from the median was squashed."""
+    for got in batches:
+        rows = []
+        for r in got.itertuples(index=False):
+            middle, spread = np.array(r.middle), np.array(r.spread)
+            rows.append(_estimate(r.pool, 0, middle, np.diag(np.square(spread))))
+            mean = np.array(r.x_sums) / r.n
+            rows.append(_estimate(r.pool, 1, mean, _matrix(np.array(r.x_products) / r.n) - np.outer(mean, mean)))
+            tame = np.array(r.t_sums) / r.n
+            squashed = _matrix(np.array(r.t_products) / r.n) - np.outer(tame, tame)
+            scale = np.sqrt(np.maximum(np.diag(squashed), 1e-9))
+            rows.append(_estimate(r.pool, 2, middle, squashed / np.outer(scale, scale) * np.outer(spread, spread)))
+        yield pd.DataFrame(rows, columns=_FITTED)
+
+
+def _first_estimates(rows: DataFrame) -> DataFrame:
+    """``_starts`` of each pool. Medians and quartiles come from histograms of 1/100 steps: a bounded number of bins."""
     bins = rows.select("pool", F.posexplode(F.array(*(F.round(F.col(f"x{i}") * 100).cast("long") for i in range(P)))).alias("k", "bin")).groupBy("pool", "k", "bin").agg(F.count("*").alias("n"))
     up = Window.partitionBy("pool", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("seen", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("pool", "k")))
     quartile = [F.min(F.when(F.col("seen") >= q * F.col("all"), F.col("bin"))) / 100 for q in (0.25, 0.5, 0.75)]
-    floors = F.array(*(F.lit(x) for x in FLOORS))
-    q = bins.groupBy("pool", "k").agg(quartile[1].alias("center"), ((quartile[2] - quartile[0]) / 1.349).alias("spread"))
-    q = q.withColumn("spread", F.col("spread") * F.col("spread") + F.element_at(floors, F.col("k") + 1) * F.element_at(floors, F.col("k") + 1))
-    q = q.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("k", "center", "spread"))).alias("f"))
-    diagonal = F.array(*(1 / F.col("f")[i]["spread"] if i == j else F.lit(0.0) for i in range(P) for j in range(P)))
-    return q.select("pool", F.transform("f", lambda x: x["center"]).alias("center"), diagonal.alias("inverse"))
+    q = bins.groupBy("pool", "k").agg(quartile[1].alias("middle"), ((quartile[2] - quartile[0]) / 1.349).alias("spread"))
+    q = q.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("k", "middle", "spread"))).alias("f"))
+    q = materialize(q.select("pool", F.transform("f", lambda x: x["middle"]).alias("middle"), F.transform("f", lambda x: x["spread"]).alias("spread")), "quartiles")
+    tame = [F.tanh((F.col(f"x{i}") - F.col("middle")[i]) / (F.col("spread")[i] + FLOORS[i])).alias(f"t{i}") for i in range(P)]
+    sums = rows.join(q, "pool").select("pool", *(f"x{i}" for i in range(P)), *tame).groupBy("pool").agg(F.count("*").alias("n"), *_moments("x"), *_moments("t"))
+    return sums.join(q, "pool").mapInPandas(_starts, FITTED)
+
+
+def determinants(rows: DataFrame) -> DataFrame:
+    """``pool, n, center, cov`` of materialised ``rows(pool, x0, x1, ...)``: each pool's minimum-covariance-determinant estimate.
+
+    From each of three starts, concentration steps keep the half of a pool that is nearest and estimate anew until no
+    determinant moves; of the three the least determinant counts. The nearest half is found from a fine histogram of log
+    distances and its moments are sums, so every step is a pre-aggregated pass over all rows and nothing of a pool meets in
+    one task but its bins.
+    """
+    fitted = materialize(_first_estimates(rows), "fit")
+    for step in range(STEPS):
+        far = rows.join(fitted, "pool").withColumn("bin", F.floor(F.log2(_squared_distance() + 1e-6) * FINE).cast("long"))
+        up = Window.partitionBy("pool", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = far.groupBy("pool", "start", "bin").agg(F.count("*").alias("n"))
+        bins = bins.withColumn("seen", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("pool", "start")))
+        cut = bins.where(F.col("seen") >= HALF * F.col("all")).groupBy("pool", "start").agg(F.min("bin").alias("cut"))
+        near = far.join(cut, ["pool", "start"]).where("bin <= cut")
+        fitted = materialize(near.groupBy("pool", "start").agg(F.count("*").alias("n"), F.first("logdet").alias("old"), *_moments("x")).mapInPandas(_solve, FITTED), "fit")
+        moved = fitted.agg(F.max(F.abs(F.col("logdet") - F.col("old")))).first()[0]
+        if step and (moved is None or moved <= STILL):
+            break
+    best = fitted.groupBy("pool").agg(F.min_by(F.struct("center", "cov"), F.struct("logdet", "start")).alias("b"))
+    return rows.groupBy("pool").agg(F.count("*").cast("double").alias("n")).join(best, "pool").select("pool", "n", "b.center", "b.cov")
+
+
+def _blend(center: str, cov: str, n: str, above: str, above_cov: str) -> list[Column]:
+    weight = F.col(n) / (F.col(n) + PRIOR)
+    mixed = lambda a, b: F.zip_with(a, b, lambda x, y: x * weight + y * (1 - weight))
+    return [mixed(center, above), mixed(cov, above_cov)]
+
+
+def _inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for got in batches:
+        inverse = [np.linalg.inv(np.array(c).reshape(P, P)).ravel().tolist() for c in got["cov"]]
+        yield pd.DataFrame({"grp": got["grp"], "center": got["center"], "inverse": inverse})
 
 
 def fit_outliers(stats: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each group of ``stats(lang, source, q_...)``: ``grp, center, inverse``.
+    """Robust estimates of each language and source in ``stats(lang, source, q_...)``: ``grp, center, inverse``.
+
+    Minimum-covariance-determinant estimates of each group, each language and all rows (``determinants``) are blended:
+    a language's with those of all rows, a group's with its language's, each by n / (n + PRIOR). So large groups go by
+    themselves, small ones lean on their language, and no size changes the rule.
 
-    Deterministic: from medians and quartile ranges, concentration steps keep the half of a group that
-    is nearest and estimate anew, each of which can't raise the determinant. The nearest part is found from a
-    histogram of log distances and its moments are sums, so every step is a pre-aggregated pass over all rows and
-    nothing of a group meets in one task but its bins. Rows that fail the base rules aren't used. Pass a
-    materialised table.
+    Rows that fail the base rules aren't used; null languages and sources are groups of their own; repeated rows and ties
+    count as rows; an empty table gives an empty result; other columns are ignored. Pass a materialised table.
     """
-    rows = stats.where(~base_failed()).select(_group().alias("grp"), *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
-    pools = rows.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.when(F.col("n") >= LEAST, F.col("grp")).otherwise("few").alias("pool"))
-    pools = materialize(pools, "pools")
-    rows = rows.join(pools, "grp").drop("grp")
-    fitted = materialize(_start(rows), "fit")
-    for _ in range(STEPS):
-        far = rows.join(fitted, "pool").withColumn("bin", F.floor(F.log2(_squared_distance() + 1e-6) * 16).cast("long"))
-        up = Window.partitionBy("pool").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = far.groupBy("pool", "bin").agg(F.count("*").alias("n"))
-        bins = bins.withColumn("seen", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("pool")))
-        cut = bins.where(F.col("seen") >= HALF * F.col("all")).groupBy("pool").agg(F.min("bin").alias("cut"))
-        near = far.join(materialize(cut, "cut"), "pool").where("bin <= cut")
-        sums = F.array(*(F.sum(f"x{i}") for i in range(P))).alias("sums")
-        products = F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(i, P))).alias("products")
-        fitted = materialize(near.groupBy("pool").agg(F.count("*").alias("n"), sums, products).mapInPandas(_solve, PARAMETERS), "fit")
-    return materialize(pools.join(fitted, "pool").drop("pool"), "params")
+    rows = stats.where(~base_failed()).select(_group().alias("grp"), _language().alias("lng"), *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
+    groups = rows.select("grp", "lng").distinct()
+    pools = F.explode(F.array(F.lit("all"), F.concat(F.lit("l"), "lng"), F.concat(F.lit("g"), "grp"))).alias("pool")
+    found = materialize(determinants(materialize(rows.select(pools, *(f"x{i}" for i in range(P))), "vectors")), "params")
+    named = lambda k: found.select(F.col("pool").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("center").alias(f"c{k}"), F.col("cov").alias(f"v{k}"))
+    got = groups.join(named(0), F.col("p0") == "all").join(named(1), F.col("p1") == F.concat(F.lit("l"), "lng")).join(named(2), F.col("p2") == F.concat(F.lit("g"), "grp"))
+    center, cov = _blend("c1", "v1", "n1", "c0", "v0")
+    got = got.withColumns({"c1": center, "v1": cov})
+    center, cov = _blend("c2", "v2", "n2", "c1", "v1")
+    return materialize(got.select("grp", center.alias("center"), cov.alias("cov")).mapInPandas(_inverted, "grp string, center array<double>, inverse array<double>"), "params")
 
 
 def judge(stats: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Adds ``q_base_failed, q_kept`` to rows with statistics; a row without estimates is kept unless it fails the base rules."""
+    """Adds ``q_base_failed, q_kept`` to rows with statistics, which must hold no other names that start with ``q_``.
+
+    A row without estimates (its whole group fails the base rules) is kept unless it fails them too; nulls, ties and
+    repeated rows are judged by their statistics; an empty table gives an empty result.
+    """
     names = stats.columns
     rows = stats.withColumn("q_group", _group()).withColumns({f"q_x{i}": x for i, x in enumerate(_vector())})
     params = fitted.select(F.col("grp").alias("q_grp"), F.col("center").alias("q_center"), F.col("inverse").alias("q_inverse"))
@@ -152,7 +226,12 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged. Texts are never shuffled: they are measured twice instead."""
-    names = docs.columns
-    fitted = fit_outliers(materialize(with_stats(docs.select("text", "lang", "source")).drop("text"), "stats"))
-    return judge(with_stats(docs), fitted).where("q_kept").select(*names)
+    """The rows of ``docs`` that the rules keep, unchanged. Texts are never shuffled: they are measured twice instead.
+
+    Null and empty texts fail the base rules and go; very long ones are measured whole; null languages and sources make
+    groups of their own; ties and repeated rows are judged alike; other columns stay whatever their names and types; an
+    empty table gives an empty result.
+    """
+    rows = seal(docs, "text", "lang", "source")
+    fitted = fit_outliers(materialize(with_stats(rows.select("text", "lang", "source")).drop("text"), "stats"))
+    return judge(with_stats(rows), fitted).where("q_kept").select(*rows.columns).toDF(*docs.columns)

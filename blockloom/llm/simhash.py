@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.columns import row_hash, seal
 from blockloom.llm.components import connected_components
 from blockloom.scratch import materialize
 
@@ -46,8 +47,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, row_hash, fp`` of every row; null texts count as empty (fingerprint 0). ``row_hash`` tells rows with one doc_id apart."""
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_hash")
-    return docs.select("text", F.col("doc_id").cast("long"), row).mapInArrow(_fingerprints, "doc_id long, row_hash long, fp long")
+    return docs.select("text", F.col("doc_id").cast("long"), row_hash(docs).alias("row_hash")).mapInArrow(_fingerprints, "doc_id long, row_hash long, fp long")
 
 
 #: A 32-bit segment value shared by more fingerprints than this is looked up by a longer key.
@@ -140,7 +140,7 @@ def keep_lowest(docs: DataFrame, groups: DataFrame) -> DataFrame:
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     copies = groups.groupBy(group.alias("g"), ranked.alias("r")).agg(F.count("*").alias("n"))
     best = copies.groupBy("g").agg(F.min(F.struct("r", "n")).alias("b")).select(F.col("b.r.i").alias("q_id"), F.col("b.r.h").alias("q_hash"), F.col("b.n").alias("q_n"))
-    names = docs.columns
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in names))
-    kept = docs.withColumn("q_row", row).join(best, (F.col("q_row") == F.col("q_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("q_id")))
-    return kept.where("q_n = 1").select(*names).union(kept.where("q_n > 1").dropDuplicates(["q_row"]).select(*names))
+    rows = seal(docs, "doc_id")
+    names = rows.columns
+    kept = rows.withColumn("q_row", row_hash(rows)).join(best, (F.col("q_row") == F.col("q_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("q_id")))
+    return kept.where("q_n = 1").select(*names).union(kept.where("q_n > 1").groupBy("q_row").agg(*(F.first(c).alias(c) for c in names)).select(*names)).toDF(*docs.columns)

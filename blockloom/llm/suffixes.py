@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockloom.llm.columns import seal
 from blockloom.scratch import materialize, partitions
 
 LENGTH = 200
@@ -422,9 +423,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut out of ``text``; a document of which nothing but white space stays is dropped.
 
-    Cut ends may split a character; its stray bytes go too.
+    Cut ends may split a character; its stray bytes go too. Null and short texts stay; of repeated rows and exact copies from
+    ``LENGTH`` bytes on nothing stays; very long texts are cut like others; null ids don't matter, other columns stay whatever
+    their names and types, an empty table gives an empty result.
     """
-    return _with_spans(docs).mapInArrow(_rewrite, docs.schema)
+    rows = seal(docs, "text")
+    return _with_spans(rows).mapInArrow(_rewrite, rows.schema).toDF(*docs.columns)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

@@ -10,11 +10,19 @@ WINDOW = 5
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
+def _repeats(words: list[bytes], at: np.ndarray) -> np.ndarray:
+    """Which of the windows at ``at`` occur there twice or more, by their words."""
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    _, which, count = np.unique(ids[at[:, None] + np.arange(WINDOW)], axis=0, return_inverse=True, return_counts=True)
+    return count[which.ravel()] > 1
+
+
 def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
     """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of a UTF-8 text (null: none).
 
     Words are runs without ASCII white space. Repeated words are those in any window of five words found twice or more;
-    windows are compared by 64-bit hashes.
+    windows that a 64-bit hash has in common are compared by their words.
     """
     text = text or b""
     words = text.split()
@@ -34,9 +42,9 @@ def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
         ranked = code[order]
         same = ranked[1:] == ranked[:-1]
         if same.any():
+            alike = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
             twice = np.zeros(len(code), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
+            twice[alike[_repeats(words, alike)]] = True
             edge = np.zeros(n + 1, np.int32)
             at = np.flatnonzero(twice)
             np.add.at(edge, at, 1)

@@ -69,3 +69,16 @@ def test_documents_follow_the_mix(spark):
     want = {r.source: r.t for r in mix_documents(df).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
     assert all(want[s] - 2 <= got[s] <= want[s] for s in want)
     assert apply_mix(df.limit(0)).count() == 0
+
+
+def test_equal_rows_stay_whole(spark):
+    df = spark.createDataFrame([(1, "one two three four", "a")] * 1000 + [(2, "x y", "b")], "doc_id long, text string, source string").repartition(5)
+    got = {(r.doc_id, r.text): r["count"] for r in apply_mix(df, weights=(1.0, 1.0), share=1.5).groupBy("doc_id", "text").count().collect()}
+    assert got == {(1, "one two three four"): 1499, (1, "one two three"): 1, (2, "x y"): 2}
+
+
+def test_odd_columns_stay(spark):
+    rows = [(k, f"w{k} " * 5, "a", 1, "z", {"k": k}, [{"m": 1}]) for k in range(20)] + [(None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, q_size int, q_row string, m map<string,int>, n array<map<string,int>>")
+    out = apply_mix(df, share=1.0)
+    assert out.columns == df.columns and sorted(map(repr, out.collect())) == sorted(map(repr, df.where("text is not null").collect()))

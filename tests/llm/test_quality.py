@@ -3,7 +3,8 @@ import re
 
 import numpy as np
 
-from blockloom.llm.quality import CUT, keep_good, quality_verdicts
+from blockloom.llm import quality as Q
+from blockloom.llm.quality import CUT, determinants, fit_outliers, keep_good, quality_verdicts, with_stats
 from blockloom.llm.textstats import text_stats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,7 +54,8 @@ def test_verdicts(spark):
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
     kept = {r.doc_id for r in got if r.kept}
     assert len(got) == len(rows) and kept == {*range(300), 3000}
-    assert sorted(r.doc_id for r in keep_good(df).collect()) == sorted([*range(300), 3, 3000]) and keep_good(df).columns == df.columns
+    good = keep_good(df)
+    assert sorted(r.doc_id for r in good.collect()) == sorted([*range(300), 3, 3000]) and good.columns == df.columns
     assert quality_verdicts(df.limit(0)).count() == 0
 
 
@@ -64,3 +66,62 @@ def test_estimates_resist_outliers(spark):
     df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in quality_verdicts(df).collect() if r.kept}
     assert kept == set(range(300)) and CUT > 40
+
+
+def test_odd_columns_stay(spark):
+    rows = [(*r[:4], 1, "g", 0.5, {"k": 1}) for r in documents()[:60]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, q_n_words int, q_group string, q_x0 double, m map<string,int>")
+    out = keep_good(df)
+    assert out.schema == df.schema and sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_windows_are_compared_by_words(monkeypatch):
+    import builtins
+
+    monkeypatch.setattr("blockloom.llm.textstats.hash", lambda w: 7, raising=False)
+    for t in ("a b c d e f g h", "a b c d e a b c d e", "a b c d e f a b c d e g"):
+        assert text_stats(t.encode()) == brute_stats(t)
+    assert builtins.hash("a") != 7
+
+
+def exact_mcd(x, rng):
+    """Least log determinant over many random starts, each concentrated to the end on exact halves."""
+    floor, half, best = np.diag(np.square(Q.FLOORS)), -(-len(x) // 2), (np.inf, None)
+    for _ in range(200):
+        at = rng.choice(len(x), 7, replace=False)
+        for _ in range(30):
+            part = x[at]
+            cov = Q.CONSISTENT * np.cov(part.T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - part.mean(0), np.linalg.inv(cov), x - part.mean(0))
+            new = np.argsort(d, kind="stable")[:half]
+            if set(new) == set(at):
+                break
+            at = new
+        best = min(best, (np.linalg.slogdet(cov)[1], tuple(part.mean(0))))
+    return best
+
+
+def test_against_an_independent_search(spark):
+    """Small groups with a third of outliers, not along an axis: determinant and center of an exhaustive search."""
+    rng = np.random.default_rng(5)
+    groups = {}
+    for k in range(5):
+        shape = rng.normal(size=(5, 5))
+        clean = rng.normal(size=(44, 5)) @ shape + 5
+        groups[f"g{k}"] = np.vstack([clean, rng.normal(size=(20, 5)) * 3 @ shape + clean.mean(0) + 9 * shape[0]])
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    got = {r.pool: r for r in determinants(spark.createDataFrame(rows, "pool string, x0 double, x1 double, x2 double, x3 double, x4 double")).collect()}
+    for g, x in groups.items():
+        logdet, center = exact_mcd(x, rng)
+        mine = np.linalg.slogdet(np.array(got[g].cov).reshape(5, 5))[1]
+        assert got[g].n == 64 and mine <= logdet + 0.6
+        scale = np.sqrt(np.diag(np.array(got[g].cov).reshape(5, 5)))
+        assert (np.abs(np.array(got[g].center) - center) / scale).max() < 0.5
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rows = documents()[:300] + [(7000 + k, " ".join(reversed(t.split())), "en", f"rare{k}") for k, (_, t, *_) in enumerate(documents()[:3])]
+    stats = with_stats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r.grp: r for r in fit_outliers(stats).collect()}
+    large, small = got['{"l":"en","s":"s"}'], got['{"l":"en","s":"rare1"}']
+    assert len(got) == 5 and not np.allclose(large.center, small.center) and np.abs(np.array(large.center) - small.center).max() < 0.3

@@ -94,3 +94,20 @@ def test_groups(spark):
     kept = keep_one(df)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(lowest.values()) and kept.columns == df.columns
     assert simhash_groups(df.limit(0)).count() == 0 and keep_one(df.limit(0)).count() == 0
+
+
+def test_odd_columns_stay(spark):
+    from blockloom.llm.near_copies import keep_dissimilar
+    from blockloom.llm.simhash import keep_one
+
+    rows = [(k, f"word{k} " * 3 + " ".join(f"x{k}y{j}" for j in range(30)), 1, 2, "r", {"k": 1}) for k in range(12)] + [(None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, q_n int, q_id long, row_hash string, m map<string,int>")
+    for keep in (keep_one, keep_dissimilar):
+        out = keep(df)
+        assert out.schema == df.schema and sorted(map(repr, out.collect())) == sorted(map(repr, [tuple_row(df, r) for r in rows]))
+
+
+def tuple_row(df, values):
+    from pyspark.sql import Row
+
+    return Row(**dict(zip(df.columns, values)))

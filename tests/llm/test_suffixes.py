@@ -80,3 +80,12 @@ def test_document_stage_keeps_columns(spark):
     rows = {r.doc_id: r for r in remove_repeats(df).collect()}
     assert set(rows) == {1, 2} and rows[2].text == "intro  end" and rows[1].text == a[:100] + a[400:]
     assert remove_repeats(df).columns == ["doc_id", "text", "source"]
+
+
+def test_odd_columns_stay(spark):
+    from blockloom.llm.suffixes import remove_repeats
+
+    rows = [(k, f"text {k}", "key", 5, {"k": 1}) for k in range(5)] + [(None, None, None, None, None), (9, "long " * 200, "a", 1, {}), (10, "long " * 200, "b", 1, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, q_k string, q_spans int, m map<string,int>")
+    out = remove_repeats(df)
+    assert out.schema == df.schema and sorted(map(repr, out.collect())) == sorted(map(repr, df.where("doc_id is null or doc_id < 9").collect()))
