@@ -1,19 +1,19 @@
-"""Removal of repeated 200-byte strings: blockwise suffix sorting with cover-sample ranks.
+"""Removal of repeated 200-byte strings: blockwise suffix sorting with a difference cover's sample ranks.
 
 A suffix counts by its first ``LENGTH`` bytes here. Which of them repeat is found in three distributed steps:
 
-1. Cover sample. A local, content-defined rule picks sample positions so that equal 200-byte strings hold a sample at the
-   same shift, wherever they start: the defining property of a difference cover, which makes any suffix reach
-   a sample within a bounded number of bytes. (A difference cover modulo v has it for suffixes at
-   unequal residues at 10 to 20 % of all positions; the content-defined cover needs about 1.2 %.) A suffix whose own
-   sample string occurs once in the corpus can't repeat and is done.
-2. Suffix buckets. The other suffixes are bucketed by their sample. Buckets meet one at a time in a task, as blocks
-   of bytes around each sample.
+1. Cover sample. Positions whose residue modulo V is in the difference cover D are samples, 9 % of all. Any two suffixes reach
+   samples at one shift under V, so of two equal strings some sample lies at the same place in both, and the GRAM bytes from it
+   on, which the strings hold, are equal. Strings with no sample whose gram occurs twice can't repeat and are done.
+2. Suffix buckets. The other suffixes are bucketed by their samples' grams, as blocks of bytes around each sample. Buckets meet
+   one at a time in a task. A bucket of more than LIMIT samples is split by further bytes, all LENGTH of each
+   string, so that it never meets anywhere.
 3. Within a bucket the samples' right and left contexts are sorted once, which gives ranks for every depth. The suffix
    that starts d bytes before its sample is then ordered by its first d bytes and, where these tie, by the
    sample's precomputed rank at depth 200 - d: long ties never compare bytes again.
 
-Every comparison in step 3 is of real bytes, so hash collisions cost time only.
+Every comparison in step 3 is of real bytes, so hash collisions cost time only; strings of split buckets are told apart by
+128 bits.
 """
 
 from __future__ import annotations
@@ -29,146 +29,201 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.llm.columns import seal
-from blockloom.scratch import materialize, partitions
+from blockloom.scratch import discard, materialize, partitions
 
 LENGTH = 200
-GRAM = 32
-WINDOW = LENGTH - GRAM + 1  # grams in a string
-CHUNK = 1 << 20  # bytes handled at a time; positions in a chunk fit 20 bits
-SCOPE = 300_000  # samples combined before they leave a task
+# A perfect difference set modulo 133, whose differences are all residues.
+V, D = 133, (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)
+GRAM = LENGTH - V + 1
+CHUNK = 1 << 20  # bytes of text in a chunk, more for a longer text or with very many routes
+ROUTE = 2_000_000  # sample hashes that meet in one place, roughly
+LIMIT = 20_000  # samples of one gram that are sorted together
 BLOCKS = 20_000  # samples sorted at a time in step 3, more only for a larger bucket
-_M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
+LOW = 40  # bits of a sample's hash that are sent
+_M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
 def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def _key(text: bytes) -> bytes:
-    return hashlib.sha256(text).digest()[:16]
+def _chunker(size: int):
+    """Distinct texts -> chunks ``chunk, bytes, keys, sizes, packed`` of about ``size`` bytes; texts too short to repeat are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        held = 0
 
-def _segments(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
-    """Chunks of bytes with ``(text number, offset in text, first, end)`` of each piece in them.
+        def row() -> pa.RecordBatch:
+            keys = [hashlib.sha256(x).digest()[:16] for x in texts]
+            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            values = (int.from_bytes(keys[0][:8], "little", signed=True), held, b"".join(keys), np.array(list(map(len, texts)), "<i8").tobytes(), packed)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, CHUNKS)], schema=CHUNKS)
+
+        for batch in batches:
+            for value in batch.column(0).cast(pa.binary()):
+                text = value.as_py() or b""
+                if len(text) < LENGTH:
+                    continue
+                if texts and held + len(text) > size:
+                    yield row()
+                    texts, held = [], 0
+                texts.append(text)
+                held += len(text)
+        if texts:
+            yield row()
+
+    return run
+
+
+CHUNKS = pa.schema([("chunk", pa.int64()), ("bytes", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("packed", pa.binary())])
+CHUNKS_SQL = "chunk long, bytes long, keys binary, sizes binary, packed binary"
+
+
+class _Chunk:
+    """The texts of a chunk: bytes, where each text starts and ends, and the samples' places and hashes."""
+
+    def __init__(self, row: dict, routes: int):
+        self.raw = zstandard.ZstdDecompressor().decompress(row["packed"])
+        self.keys = row["keys"]
+        sizes = np.frombuffer(row["sizes"], "<i8")
+        self.end = sizes.cumsum()
+        self.start = self.end - sizes
+        self.data = np.frombuffer(self.raw + bytes(8), np.uint8)
+        self.words = np.ndarray((len(self.raw) + 1,), "<u8", self.data, 0, (1,))
+        longest = int(sizes.max()) - GRAM + 1
+        base = (np.arange(-(-longest // V))[:, None] * V + np.array(D)).ravel()
+        counts = np.searchsorted(base, sizes - GRAM + 1)
+        self.owner = np.repeat(np.arange(len(sizes)), counts)
+        self.sample = np.concatenate([base[:k] for k in counts.tolist()]) + self.start[self.owner]
+        self.code = _routed(self.hashes(self.sample, GRAM), routes)
+
+    def hashes(self, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+        h = np.full(len(at), seed, np.uint64)
+        for k in [*range(0, length - 8, 8), length - 8]:
+            h = (h ^ self.words[at + k]) * _M[0]
+            h ^= h >> np.uint64(29)
+        h *= _M[1]
+        h ^= h >> np.uint64(32)
+        h *= _M[2]
+        return h ^ (h >> np.uint64(29))
+
+    def classes(self, flags: list[dict]) -> np.ndarray:
+        """Of each sample: 0 for a gram that occurs once, 1 for a repeated one, 2 for one of more than LIMIT places."""
+        grams, which = np.unique(self.code, return_inverse=True)
+        return _answers(grams >> np.uint64(LOW), flags)[which]
+
+    def windows(self, sample: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start of the strings that hold a sample's gram at a shift under V; none where last < first."""
+        return np.maximum(self.start[owner], sample - (V - 1)), np.minimum(sample, self.end[owner] - LENGTH)
+
+    def hot_strings(self, classes: np.ndarray) -> np.ndarray:
+        """Starts of the strings around samples of class 2."""
+        at = classes == 2
+        first, last = self.windows(self.sample[at], self.owner[at])
+        edge = np.zeros(len(self.raw) + 2, np.int64)
+        ok = first <= last
+        np.add.at(edge, first[ok], 1)
+        np.add.at(edge, last[ok] + 1, -1)
+        return np.flatnonzero(edge.cumsum() > 0)
+
+    def string_codes(self, at: np.ndarray, routes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct 128-bit hashes of strings, ordered by route: structured array of route, a and b, and each string's place in it."""
+        table = np.empty(len(at), CODE)
+        table["a"], table["b"] = self.hashes(at, LENGTH), self.hashes(at, LENGTH, 0x5851F42D4C957F2D)
+        table["route"] = (table["a"] >> np.uint64(LOW)) % np.uint64(routes)
+        return np.unique(table, return_inverse=True)
+
+
+CODE = np.dtype([("route", "<u8"), ("a", "<u8"), ("b", "<u8")])
+
+
+def _routed(h: np.ndarray, routes: int) -> np.ndarray:
+    low = np.uint64((1 << LOW) - 1)
+    return ((h >> np.uint64(LOW)) % np.uint64(routes)) << np.uint64(LOW) | (h & low)
+
+
+def _answers(route: np.ndarray, flags: list[dict]) -> np.ndarray:
+    """Classes of codes that are sorted by route, from the rows of ``_judge`` for their chunk; 0 where there is none."""
+    got = np.zeros(len(route), np.int8)
+    for f in flags or ():
+        low, high = np.searchsorted(route, np.uint64(f["route"])), np.searchsorted(route, np.uint64(f["route"]), "right")
+        for bits in (f["bits"], f["hot"]):
+            if bits is not None:
+                got[low:high] += np.unpackbits(np.frombuffer(bits, np.uint8), count=high - low).astype(np.int8)
+    return got
+
+
+ASKED = pa.schema([("route", pa.int64()), ("chunk", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+ASKED_SQL = "route long, chunk long, codes binary, counts binary"
+
+
+def _ask(chunk: int, route: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row for each route: the codes that a chunk has there, and the logarithm of their number of places in it."""
+    head = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
+    stop = [*head[1:].tolist(), len(route)]
+    logs = np.floor(np.log2(counts)).astype(np.uint8)
+    columns = [route[head].astype(np.int64), np.full(len(head), chunk, np.int64), [codes[a:b].tobytes() for a, b in zip(head.tolist(), stop)], [logs[a:b].tobytes() for a, b in zip(head.tolist(), stop)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ASKED)], schema=ASKED)
+
+
+def _ask_samples(routes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = _Chunk(row, routes)
+                if len(chunk.code):
+                    grams, counts = np.unique(chunk.code, return_counts=True)
+                    low = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, : LOW // 8]
+                    yield _ask(row["chunk"], grams >> np.uint64(LOW), np.ascontiguousarray(low), counts)
+
+    return run
+
+
+def _ask_strings(routes: int):
+    """Buckets that are split by all bytes of their strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = _Chunk(row, routes)
+                codes, which = chunk.string_codes(chunk.hot_strings(chunk.classes(row["flags"])), routes)
+                if len(codes):
+                    yield _ask(row["chunk"], codes["route"], np.stack([codes["a"], codes["b"]], axis=1), np.bincount(which))
+
+    return run
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which codes of each chunk occur in two places or more anywhere, and which in more than LIMIT: a bit for each."""
+    for table in _groups(batches, 1):
+        route, chunk = (table.column(k).to_numpy() for k in (0, 1))
+        codes, logs = (table.column(k).to_pylist() for k in (2, 3))
+        size = np.fromiter(map(len, logs), np.int64, len(logs))
+        weight = np.left_shift(1, np.frombuffer(b"".join(logs), np.uint8).astype(np.int64))
+        raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(weight), -1)
+        wide = np.zeros((len(weight), 24), np.uint8)
+        wide[:, :8] = np.repeat(route, size).astype("<i8").view(np.uint8).reshape(-1, 8)
+        wide[:, 8 : 8 + raw.shape[1]] = raw
+        table_ = wide.view("<u8")
+        order = np.lexsort((table_[:, 2], table_[:, 1], table_[:, 0])) if raw.shape[1] > 8 else np.argsort((table_[:, 0] << np.uint64(LOW)) | table_[:, 1], kind="stable")
+        ranked = table_[order]
+        head = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(axis=1)]) if len(ranked) else np.zeros(0, bool)
+        total = np.add.reduceat(weight[order], np.flatnonzero(head))
+        seen = np.empty(len(weight), np.int64)
+        seen[order] = total[head.cumsum() - 1]
+        end = size.cumsum()
+        rows = []
+        for k, (a, b) in enumerate(zip((end - size).tolist(), end.tolist())):
+            repeated, hot = seen[a:b] > 1, seen[a:b] > LIMIT
+            if repeated.any():
+                rows.append((int(chunk[k]), int(route[k]), np.packbits(repeated).tobytes(), np.packbits(hot).tobytes() if hot.any() else None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), JUDGED)], schema=JUDGED)
 
-    Longer texts are cut into pieces that share LENGTH - 1 bytes: each 200-byte string starts in exactly one.
-    """
-    parts: list[bytes] = []
-    places: list[tuple[int, int, int, int]] = []
-    size = 0
-    for number, text in texts:
-        for at in range(0, max(1, len(text) - LENGTH + 1), CHUNK - LENGTH + 1):
-            piece = text[at : at + CHUNK]
-            if len(piece) < LENGTH:
-                continue
-            if size + len(piece) > CHUNK:
-                yield np.frombuffer(b"".join(parts), np.uint8), places
-                parts, places, size = [], [], 0
-            parts.append(piece)
-            places.append((number, at, size, size + len(piece)))
-            size += len(piece)
-    if parts:
-        yield np.frombuffer(b"".join(parts), np.uint8), places
 
-
-def _samples(data: np.ndarray, places: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each sample in a chunk: position, hash of its gram, first and last start of the strings that chose it.
-
-    A string's sample is the leftmost of the grams in it with the least hash.
-    """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded.view(), (n, 8), (1, 1)).copy().view("<u8").ravel()
-    m = n - GRAM + 1
-    h = words[:m] * _M[0]
-    for k in range(1, GRAM // 8):
-        h ^= h >> np.uint64(31)
-        h += words[8 * k : 8 * k + m] * _M[k]
-    h ^= h >> np.uint64(29)
-    h *= _M[4]
-    h ^= h >> np.uint64(32)
-    ranked = (h & ~np.uint64(CHUNK - 1)) | np.arange(m, dtype=np.uint64)
-    rows = -(-m // WINDOW)
-    grid = np.full(rows * WINDOW, np.iinfo(np.uint64).max, np.uint64)
-    grid[:m] = ranked
-    grid = grid.reshape(rows, WINDOW)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = n - LENGTH + 1
-    least = np.minimum(behind[:starts], ahead[WINDOW - 1 : WINDOW - 1 + starts])
-    ok = np.zeros(starts + LENGTH, np.int8)
-    for _, _, first, end in places:
-        ok[first : end - LENGTH + 1] = 1
-    start = np.flatnonzero(ok[:starts])
-    pick = (least[start] & np.uint64(CHUNK - 1)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
-    last = np.concatenate([new[1:] - 1, [len(pick) - 1]])
-    position = pick[new]
-    return position, h[position], start[new], start[last]
-
-
-def _owner(places: list[tuple[int, int, int, int]], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number of each chunk position, and what to add to it for the position in the text."""
-    table = np.array(places, np.int64)
-    k = np.searchsorted(table[:, 2], at, side="right") - 1
-    return table[k, 0], table[k, 1] - table[k, 2]
-
-
-def _distinct(batch: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    for value in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()):
-        text = value.as_py() or b""
-        if len(text) >= LENGTH and (key := _key(text)) not in seen:
-            if len(seen) > 1_000_000:
-                seen.clear()  # a text may then leave the task twice, which later steps allow
-            seen.add(key)
-            yield key, text
-
-
-def _keys(numbers: np.ndarray, keys: list[bytes]) -> pa.Array:
-    return pa.array(keys, pa.binary()).take(pa.array(numbers, pa.int64()))
-
-
-SAMPLE = pa.schema([("route", pa.int64()), ("sample", pa.bool_()), ("key", pa.binary()), ("pos", pa.int32())])
-
-
-def _emit_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 at home: one row for each sample string met, and one for each place of those met twice or more already."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keys: list[bytes] = []
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def texts(batch=batch, keys=keys):
-            for key, text in _distinct(batch, seen):
-                keys.append(key)
-                yield len(keys) - 1, text
-
-        for data, places in _segments(texts()):
-            position, h, _, _ = _samples(data, places)
-            number, shift = _owner(places, position)
-            got.append((h, number, position + shift))
-            held += len(h)
-            if held >= SCOPE:
-                yield _combined(got, keys)
-                got, held = [], 0
-        if got:
-            yield _combined(got, keys)
-
-
-def _combined(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keys: list[bytes]) -> pa.RecordBatch:
-    h, number, pos = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((pos, number, h))
-    h, number, pos = h[order], number[order], pos[order]
-    head = np.concatenate([[True], h[1:] != h[:-1]])
-    place = np.concatenate([[True], (number[1:] != number[:-1]) | (pos[1:] != pos[:-1])]) | head
-    h, number, pos, head = h[place], number[place], pos[place], head[place]
-    size = np.diff(np.concatenate([np.flatnonzero(head), [len(h)]]))
-    known = np.repeat(size > 1, size)
-    route = np.concatenate([h[head].view(np.int64), (h[known] * _M[1] + pos[known].astype(np.uint64) * _M[2] + number[known].astype(np.uint64)).view(np.int64)])
-    which = np.concatenate([np.flatnonzero(head), np.flatnonzero(known)])
-    sample = np.arange(len(which)) < int(head.sum())
-    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(sample), _keys(number[which], keys), pa.array(pos[which].astype(np.int32))], schema=SAMPLE)
+JUDGED = pa.schema([("chunk", pa.int64()), ("route", pa.int64()), ("bits", pa.binary()), ("hot", pa.binary())])
+JUDGED_SQL = "chunk long, route long, bits binary, hot binary"
 
 
 def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
@@ -194,85 +249,65 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _find_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 after the exchange: places of sample strings that occur in two places or more."""
-    for table in _groups(batches, 1):
-        table = table.combine_chunks()
-        route = table.column("route").to_numpy()
-        sample = table.column("sample").to_numpy(zero_copy_only=False)
-        key = np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint64).reshape(-1, 2)
-        pos = table.column("pos").to_numpy()
-        keep = ~sample
-        at = np.flatnonzero(sample)
-        if len(at):
-            r, k, p = route[at], key[at], pos[at]
-            head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            size = np.diff(np.concatenate([head, [len(r)]]))
-            differs = (k != np.repeat(k[head], size, axis=0)).any(axis=1) | (p != np.repeat(p[head], size))
-            keep[at] = np.repeat(np.logical_or.reduceat(differs, head), size)
-        yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks().filter(pa.array(keep)), pa.array(pos[keep])], ["key", "pos"])
+BLOCK = pa.schema([("route", pa.int64()), ("solved", pa.bool_()), ("key", pa.binary()), ("start", pa.int32()), ("strings", pa.int32()), ("anchor", pa.int32()), ("block", pa.binary())])
+BLOCK_SQL = "route long, solved boolean, key binary, start int, strings int, anchor int, block binary"
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct text once for each task, compressed for the exchange."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        rows = [(key, squeeze(text)) for key, text in _distinct(batch, seen)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["key", "packed"])
+def _emit_blocks(routes: int):
+    """Step 2: the bytes around each repeated sample; equal blocks of a batch are solved at home and leave it once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = []
+            homes: dict[tuple[int, int, bytes], int] = {}
+            for row in batch.to_pylist():
+                chunk = _Chunk(row, routes)
+                at = np.flatnonzero(chunk.classes(row["flags"]) == 1)
+                first, last = chunk.windows(chunk.sample[at], chunk.owner[at])
+                ok = first <= last
+                at, first, last = at[ok], first[ok], last[ok]
+                owner, code = chunk.owner[at], chunk.code[at].view(np.int64)
+                raw, keys = chunk.raw, chunk.keys
+                for p, route, a, b, who, begin in zip(chunk.sample[at].tolist(), code.tolist(), first.tolist(), last.tolist(), owner.tolist(), chunk.start[owner].tolist()):
+                    block = raw[a : b + LENGTH]
+                    key = keys[16 * who : 16 * who + 16]
+                    home = homes.get(same := (route, p - a, block))
+                    if home is None:
+                        homes[same] = len(rows)
+                        rows.append([route, False, key, a - begin, b - a + 1, p - a, block])
+                    else:
+                        if not rows[home][1]:
+                            rows[home][1] = True
+                            rows.append([rows[home][3] ^ route, True, *rows[home][2:5], None, None])
+                        rows.append([(a - begin) ^ route ^ who, True, key, a - begin, b - a + 1, None, None])
+                if len(rows) >= 40_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
+                    rows, homes = [], {}
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
 
+    return run
 
-BLOCK = pa.schema([("route", pa.int64()), ("solved", pa.bool_()), ("key", pa.binary()), ("start", pa.int32()), ("strings", pa.int32()), ("anchor", pa.int32()), ("block", pa.binary())])
-BLOCK_SQL = "route long, solved boolean, key binary, start int, strings int, anchor int, block binary"
 
+def _split_runs(routes: int):
+    """Runs ``key, start, strings`` of repeated strings around samples of class 2, from the answers in ``more``."""
 
-def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: the bytes around each repeated sample; equal blocks of a task are solved at home and leave it once."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keys: list[bytes] = []
-        flags: list[np.ndarray] = []
-
-        def texts(batch=batch, keys=keys, flags=flags):
-            for key, packed, at in zip(batch.column(0), batch.column(1), batch.column(2)):
-                if (k := key.as_py()) not in seen:
-                    seen.add(k)
-                    keys.append(k)
-                    flags.append(np.unique(at.values.to_numpy()))
-                    yield len(keys) - 1, zstandard.ZstdDecompressor().decompress(packed.as_py())
-
-        rows: list[tuple] = []
-        homes: dict[tuple[int, int, bytes], int] = {}
-        for data, places in _segments(texts()):
-            position, h, first, last = _samples(data, places)
-            wanted = np.zeros(len(data), bool)
-            for number, at, low, end in places:
-                f = flags[number]
-                f = f[np.searchsorted(f, at) : np.searchsorted(f, at + end - low)]
-                wanted[f - at + low] = True
-            use = wanted[position]
-            position, h, first, last = position[use], h[use], first[use], last[use]
-            if not len(position):
-                continue
-            number, shift = _owner(places, position)
-            raw = data.tobytes()
-            for p, route, a, b, who, add in zip(position.tolist(), h.view(np.int64).tolist(), first.tolist(), last.tolist(), number.tolist(), shift.tolist()):
-                block = raw[a : b + LENGTH]
-                row = homes.get(same := (route, p - a, block))
-                if row is None:
-                    homes[same] = len(rows)
-                    rows.append([route, False, keys[who], a + add, b - a + 1, p - a, block])
-                else:
-                    if not rows[row][1]:
-                        rows[row][1] = True
-                        rows.append([rows[row][3] ^ route, True, *rows[row][2:5], None, None])
-                    rows.append([(a + add) ^ route ^ who, True, keys[who], a + add, b - a + 1, None, None])
-            if len(rows) >= 40_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
-                rows.clear()
-                homes.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = _Chunk(row, routes)
+                at = chunk.hot_strings(chunk.classes(row["flags"]))
+                codes, which = chunk.string_codes(at, routes)
+                at = at[(_answers(codes["route"], row["more"]) > 0)[which]]
+                if not len(at):
+                    continue
+                owner = np.searchsorted(chunk.start, at, "right") - 1
+                head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])]))
+                strings = np.diff(np.concatenate([head, [len(at)]]))
+                keys = [chunk.keys[16 * w : 16 * w + 16] for w in owner[head].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array((at[head] - chunk.start[owner[head]]).astype(np.int32)), pa.array(strings.astype(np.int32))], ["key", "start", "strings"])
+
+    return run
 
 
 def _ranked(context: np.ndarray, route: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,12 +351,12 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         grid = np.take(flat, (begin + anchor)[:, None] + right, mode="clip")
         grid[right >= (size - anchor)[:, None]] = 0
         r_order, r_common = _ranked(grid, route)
-        left = np.arange(-(-WINDOW // 8) * 8)
+        left = np.arange(-(-V // 8) * 8)
         grid = np.take(flat, (begin + anchor - 1)[:, None] - left, mode="clip")
         grid[left >= anchor[:, None]] = 0
         l_order, l_common = _ranked(grid, route)
         del grid
-        hit = np.zeros((n, WINDOW + 1), bool)  # by distance from the string's start to the sample, largest first
+        hit = np.zeros((n, V + 1), bool)  # by distance from the string's start to the sample, largest first
         for d in range(int(anchor.max()) + 1):
             own = np.flatnonzero((d <= anchor) & (d > anchor - strings))
             if len(own) < 2:
@@ -329,30 +364,49 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rank = _classes(l_order, l_common, d)[own] * n + _classes(r_order, r_common, LENGTH - d)[own]
             by = rank.argsort(kind="stable")
             same = rank[by[1:]] == rank[by[:-1]]
-            hit[own[by[1:][same]], WINDOW - 1 - d] = True
-            hit[own[by[:-1][same]], WINDOW - 1 - d] = True
+            hit[own[by[1:][same]], V - 1 - d] = True
+            hit[own[by[:-1][same]], V - 1 - d] = True
         hit[solved] = False
         edges = np.diff(np.pad(hit, ((0, 0), (1, 0))).astype(np.int8), axis=1)
         row, first = np.nonzero(edges == 1)
         _, end = np.nonzero(edges == -1)
-        origin = start[row] + anchor[row] - (WINDOW - 1)
+        origin = start[row] + anchor[row] - (V - 1)
         yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks().take(pa.array(row)), pa.array((origin + first).astype(np.int32)), pa.array((end - first).astype(np.int32))], ["key", "start", "strings"])
 
 
+def _answered(asked: DataFrame, n: int, name: str) -> DataFrame:
+    """``chunk, <name>``: what ``_judge`` answers each chunk."""
+    judged = asked.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_judge, JUDGED_SQL)
+    return materialize(judged.groupBy("chunk").agg(F.collect_list(F.struct("route", "bits", "hot")).alias(name)), name)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``key, spans`` of each distinct text with repeated strings: byte ranges ``start, end``, unsorted, may overlap."""
+    """``key, spans`` of each distinct text with repeated strings: byte ranges ``start, end``, unsorted, may overlap.
+
+    A text that has copies goes wholly; one of them stays in the search, for what other texts share with it.
+    """
     n = partitions(docs.sparkSession)
-    texts = docs.select("text")
-    samples = texts.mapInArrow(_emit_samples, "route long, sample boolean, key binary, pos int")
-    flagged = samples.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_find_repeated, "key binary, pos int")
-    flagged = materialize(flagged.groupBy("key").agg(F.collect_list("pos").alias("at")), "flagged")
-    packed = texts.mapInArrow(_compress, "key binary, packed binary").repartition(n, "key")
-    blocks = packed.join(flagged, "key").select("key", "packed", "at").mapInArrow(_emit_blocks, BLOCK_SQL)
+    keyed = docs.select("text", text_key(F.col("text")).alias("key"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
+    twins = materialize(keyed.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c > 1").select("key", "n"), "twins")
+    texts = keyed.join(twins.select("key"), "key", "left_anti").select("text")
+    texts = texts.union(keyed.join(twins.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("text"))
+    chunks = materialize(texts.mapInArrow(_chunker(max(CHUNK, min(CHUNK << 6, n << 10))), CHUNKS_SQL), "chunks")
+    size = chunks.agg(F.sum("bytes")).first()[0] or 0
+    routes = max(n, size * len(D) // V // ROUTE)
+    flags = _answered(chunks.mapInArrow(_ask_samples(routes), ASKED_SQL), n, "flags")
+    flagged = chunks.join(flags, "chunk")
+    blocks = flagged.mapInArrow(_emit_blocks(routes), BLOCK_SQL)
     runs = blocks.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_sort_buckets, "key binary, start int, strings int")
+    if not flags.where(F.exists("flags", lambda f: f["hot"].isNotNull())).isEmpty():
+        hot = chunks.join(flags.where(F.exists("flags", lambda f: f["hot"].isNotNull())), "chunk")
+        more = _answered(hot.mapInArrow(_ask_strings(routes), ASKED_SQL), n, "more")
+        runs = runs.union(hot.join(more, "chunk").mapInArrow(_split_runs(routes), "key binary, start int, strings int"))
     spans = runs.select("key", F.struct(F.col("start"), (F.col("start") + F.col("strings") - 1 + LENGTH).alias("end")).alias("span"))
-    copies = docs.select(text_key(F.col("text")).alias("key"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH).groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    whole = copies.where("c > 1").select("key", F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")).alias("span"))
-    return materialize(spans.union(whole).groupBy("key").agg(F.collect_list("span").alias("spans")), "spans")
+    whole = twins.select("key", F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")).alias("span"))
+    found = materialize(spans.union(whole).groupBy("key").agg(F.collect_list("span").alias("spans")), "spans")
+    for table in (chunks, flags):
+        discard(table)
+    return found
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:

@@ -2,6 +2,10 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+
+from blockloom.llm import suffixes as S
 from blockloom.llm.suffixes import LENGTH, remove_repeats, repeat_digests
 
 
@@ -64,6 +68,43 @@ def test_repeated_rows_empty_table_and_nulls(spark):
     assert got(spark, []) == []
 
 
+def test_cover_has_every_difference():
+    assert {(a - b) % S.V for a in S.D for b in S.D} == set(range(S.V)) and S.GRAM + S.V - 1 == LENGTH
+
+
+def test_crowded_buckets_are_split(spark):
+    """One gram at more than LIMIT places: repeats in it are found, and none of it is sorted as a bucket."""
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choices("bcdefgh ", k=n))
+    rows = [(1, "a" * 400_000), (2, letters(150) + "a" * 450 + letters(90)), (3, letters(300) + "a" * 150 + letters(300)), (4, letters(900))]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_one_gram_in_many_contexts_meets_nowhere():
+    rng = np.random.default_rng(2)
+    common = rng.integers(97, 123, 134, np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 100, np.uint8).tobytes() + common + rng.integers(97, 123, 166, np.uint8).tobytes() for _ in range(42_000)]
+    chunks = pa.Table.from_batches(list(S._chunker(1 << 20)([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])])))
+    asked = pa.Table.from_batches(list(S._ask_samples(8)(chunks.to_batches()))).sort_by("route")
+    flags = {}
+    for batch in S._judge(asked.to_batches()):
+        for r in batch.to_pylist():
+            flags.setdefault(r["chunk"], []).append(r)
+    rows = [r | {"flags": flags[r["chunk"]]} for r in chunks.to_pylist()]
+    chunk = S._Chunk(rows[0], 8)
+    crowded = set(chunk.code[chunk.classes(rows[0]["flags"]) == 2].view(np.int64).tolist())
+    assert len(crowded) > 3
+
+    class Batch:
+        def to_pylist(self):
+            return rows
+
+    blocks = pa.Table.from_batches(list(S._emit_blocks(8)([Batch()]))).column("route").to_pylist()
+    assert not crowded & set(blocks) and max(map(blocks.count, set(blocks))) < S.LIMIT
+    strings = pa.Table.from_batches(list(S._ask_strings(8)([Batch()]))).sort_by("route")
+    assert list(S._judge(strings.to_batches())) == []
+
+
 def test_long_text_crosses_chunks(spark, monkeypatch):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefgh ") for _ in range(2_300_000))
