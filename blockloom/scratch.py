@@ -1,12 +1,13 @@
 """Shared scratch space: intermediate tables that survive the loss of executors.
 
 Everything is written below the folder that the cluster names in ``spark.checkpoint.dir``. Only where that
-setting is missing (unit tests, a laptop) a folder of our own is chosen.
+setting is missing and the master is local (unit tests, a laptop) a folder of our own is chosen.
 """
 
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="blockloom-")
         _ROOTS[app] = f"{base.rstrip('/')}/blockloom-{app}"
         atexit.register(_remove, spark, _ROOTS[app])
@@ -59,5 +62,11 @@ def discard(table: DataFrame) -> None:
     _remove(table.sparkSession, table._scratch_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop the shuffle files of finished plans: it waits for the driver's JVM to collect them."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

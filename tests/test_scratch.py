@@ -1,6 +1,8 @@
 import os
 
-from blockloom.scratch import discard, materialize
+import pytest
+
+from blockloom.scratch import discard, materialize, shared_root
 
 
 def test_tables_are_written_and_removed(spark):
@@ -9,3 +11,18 @@ def test_tables_are_written_and_removed(spark):
     assert table.count() == 5 and os.path.isdir(path)
     discard(table)
     assert not os.path.exists(path)
+
+
+def test_a_cluster_must_name_the_folder(spark):
+    class Context:
+        applicationId, master = "app-1", "spark://host:7077"
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        shared_root(Session())
