@@ -74,19 +74,21 @@ class _Conversation:
         block, begin, end = turn_block(role, text)
         if self.fresh and self.tokens + tokens > self.budget:
             yield self.close()
-            if self.system:
+            # The system turn is retained wherever it fits beside the new turn.
+            if self.system and role != "system" and self.system[1] + tokens <= self.budget:
                 self._append(*self.system)
             # The prefix sums of the recent turns choose the longest tail that the history budget and the window allow.
             room = min(self.history, self.budget - self.tokens - tokens)
             tail = [x for x in self.recent if self.total - x[2] <= room]
             for old, n, _ in tail:
-                self._append(old, n)
+                if not self.system or old is not self.system[0]:
+                    self._append(old, n)
             self.repeated = len(self.blocks)
         if role == "assistant":
             self.spans.append({"start": self.chars + begin, "end": self.chars + end})
         self._append(block, tokens)
         self.fresh += 1
-        if role == "system" and self.system is None and self.number == 0 and self.fresh == 1:
+        if role == "system":
             self.system = (block, tokens)
             return
         self.recent.append((block, tokens, self.total))
@@ -133,9 +135,11 @@ def _formatter(vocabulary: str, budget: int, history: int):
 def format_chats(turns: DataFrame, vocabulary: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Training windows of ``turns(conv_id, turn, role, text)``: ``conv_id, window, text, loss, repeated, tokens``.
 
-    A window holds at most ``budget`` tokens of whole turns (a longer turn has one of its own): the conversation's system
-    turn, a tail of turns of earlier windows of up to ``history`` tokens, and new turns. ``loss`` has the character
-    ranges of the texts of its new assistant turns; the first ``repeated`` turns were shown before and are masked.
+    A window holds at most ``budget`` tokens of whole turns: the conversation's last system turn, a tail of turns of earlier
+    windows of up to ``history`` tokens as prefix sums choose it, and new turns. Two cases give way: a turn that alone is
+    over the budget has a window to itself, the only kind that exceeds it, and where the system turn and a new one are over it
+    together, the window is without the system turn. ``loss`` has the character ranges of the texts of its new assistant
+    turns; the first ``repeated`` turns were shown before and are masked.
 
     Turns are ordered by turn, role and text, so ties have a defined order and repeated rows stay repeated; null roles
     and texts are empty; rows without conv_id form one conversation; other columns are ignored; an empty table

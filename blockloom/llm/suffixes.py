@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.llm.columns import seal
-from blockloom.scratch import discard, materialize, partitions
+from blockloom.scratch import discard, materialize, partitions, release
 
 LENGTH = 200
 # A perfect difference set modulo 133, whose differences are all residues.
@@ -459,6 +459,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(docs).select(F.col("key").alias("q_key"), F.col("spans").alias("q_spans"))
+    release(docs.sparkSession)
     return docs.withColumn("q_k", text_key(F.col("text"))).join(spans, F.col("q_k") == F.col("q_key"), "left").select(*docs.columns, "q_spans")
 
 

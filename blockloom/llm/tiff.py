@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,11 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 ROW, FILL, PAGE_ROWS, STRIP_ROWS = 576, 255, 4096, 64
 
 
+#: Compression, predictor and tile edge (0: strips) of the images that are written where none is asked for, as mixed archives have
+#: them. A payload's checksum picks one, so equal payloads are stored alike.
+LAYOUTS = ((DEFLATE, 1, 0), (DEFLATE, 2, 0), (DEFLATE, 1, 192), (DEFLATE, 2, 64), (PACKBITS, 1, 0), (PACKBITS, 2, 192), (NONE, 1, 0), (LZW, 2, 0))
+
+
 def unpack_bits(data: bytes, size: int) -> bytes:
     out, at = bytearray(), 0
     while at < len(data) and len(out) < size:
@@ -39,20 +45,24 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
+    """Runs of three and more equal bytes as a count and a byte, what is between as literal packets."""
     out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        start = at
-        while at < len(data) and at - start < 128 and not (at + 2 < len(data) and data[at] == data[at + 1] == data[at + 2]):
-            at += 1
-        out += bytes((at - start - 1,)) + data[start:at]
+
+    def literal(start: int, stop: int) -> None:
+        for k in range(start, stop, 128):
+            part = data[k : min(k + 128, stop)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in _RUN.finditer(data):
+        literal(at, run.start())
+        at = run.end()
+        out += bytes((257 - (at - run.start()), data[at - 1]))
+    literal(at, len(data))
     return bytes(out)
 
 
@@ -232,27 +242,33 @@ def _payload(text: bytes | None) -> bytes:
     return text.ljust(size, bytes((FILL,)))
 
 
-def _encoder(compression: int, predictor: int, tile: int):
+def _encoder(compression: int | None, predictor: int, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media, sizes = [], []
             for value in batch.column(1).cast(pa.binary()):
                 text = value.as_py()
-                grid = np.frombuffer(_payload(text), np.uint8).reshape(-1, ROW)
-                media.append(write_tiff([grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)], compression, predictor, tile))
+                payload = _payload(text)
+                grid = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+                layout = (compression, predictor, tile) if compression else LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
+                media.append(write_tiff([grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)], *layout))
                 sizes.append(len(text or b""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return run
 
 
-def media_column(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1, tile: int = 0) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text's UTF-8 bytes (null: empty) as the samples of a TIFF file."""
+def media_column(docs: DataFrame, compression: int | None = None, predictor: int = 1, tile: int = 0) -> DataFrame:
+    """``doc_id, n_bytes, media``: each text's UTF-8 bytes (null: empty) as the samples of a TIFF file.
+
+    Without ``compression`` the layout is one of LAYOUTS. Very long texts have several pages; null ids, ties and repeated rows
+    are rows like others; other columns are ignored; an empty table gives an empty result.
+    """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoder(compression, predictor, tile), "doc_id long, n_bytes long, media binary")
 
 
-PAGES = "doc_id long, n_bytes long, page int, pages int, width int, height int, channels int, samples binary, media_bytes long, media_sha256 string"
-_PAGES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("page", pa.int32()), ("pages", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("samples", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+PAGES = "doc_id long, n_bytes long, page int, pages int, width int, height int, channels int, samples binary, media_bytes long, media_sha256 string, error string"
+_PAGES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("page", pa.int32()), ("pages", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("samples", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("error", pa.string())])
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +276,21 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, n_bytes, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             media = value.as_py()
-            digest = hashlib.sha256(media).hexdigest()
-            count = 0
+            digest = None if media is None else hashlib.sha256(media).hexdigest()
+            size, count, error = None if media is None else len(media), 0, "no media" if media is None else None
             first = len(rows)
-            for page in read_tiff(media):
-                rows.append([doc_id, n_bytes, count, None, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), len(media), digest])
-                held += page.size
-                count += 1
+            try:
+                for page in read_tiff(media) if media is not None else ():
+                    rows.append([doc_id, n_bytes, count, None, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), size, digest, None])
+                    held += page.size
+                    count += 1
+                error = error or (None if count else "no pages")
+            except (ValueError, struct.error, zlib.error, IndexError, KeyError, ZeroDivisionError, MemoryError) as e:
+                error = f"{type(e).__name__}: {e}"
             for row in rows[first:]:
                 row[3] = count
+            if error:
+                rows.append([doc_id, n_bytes, None, count, None, None, None, None, size, digest, error])
             if held > 1 << 24:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PAGES)], schema=_PAGES)
                 rows, held = [], 0
@@ -277,7 +299,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tiff_pages(media: DataFrame) -> DataFrame:
-    """One row per page of every ``doc_id, n_bytes, media``, pages of a file in order and next to each other."""
+    """One row per page of every ``doc_id, n_bytes, media``, pages of a file in order and next to each other.
+
+    Null media, and what can't be decoded (damage; 16-bit, planar and 64-bit files), give a row with ``error`` and no page after the
+    pages that could be read. Null ids, ties and repeated rows are rows like others; an image is decoded in one task
+    whatever its size; other columns are ignored; an empty table gives an empty result.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, PAGES)
 
 
@@ -295,6 +322,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc_id, n_bytes, page, pages, value, size, digest in zip(*(batch.column(k).to_pylist() if k != 7 else batch.column(k) for k in (0, 1, 2, 3, 7, 8, 9))):
             samples = value.as_py()
+            if page is None:
+                out.append((doc_id, n_bytes, None, None, None, size, digest, None))
+                continue
             if page == 0:
                 state = [hashlib.sha256(), 0, np.zeros(64, np.int64)]
             state[0].update(samples)
@@ -306,7 +336,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (3, 6, 7) else pa.int64()) for k, c in enumerate(columns)], names)
 
 
-def media_digests(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1, tile: int = 0) -> DataFrame:
+def media_digests(docs: DataFrame, compression: int | None = None, predictor: int = 1, tile: int = 0) -> DataFrame:
     """Payload, media and feature digests of every document, computed from its decoded TIFF pages.
 
     Null and empty texts give one row of fill; long texts give several pages; null ids, ties and repeated rows are rows like

@@ -38,5 +38,24 @@ def test_digests_against_brute_force(spark):
     assert got == brute(rows)
     kept = windows.where("conv_id = 1").collect()
     assert len(kept) > 5 and all(w.tokens <= BUDGET or len(read_turns(w.text)) - w.repeated == 1 for w in kept)
-    assert all(read_turns(w.text)[0][0] == "system" for w in kept) and max(w.repeated for w in kept) > 1
+    assert all(read_turns(w.text)[0][0] == "system" or w.tokens > BUDGET - 100 for w in kept) and sum(read_turns(w.text)[0][0] == "system" for w in kept) > 5 and max(w.repeated for w in kept) > 1
     assert chat_digests(format_chats(df.limit(0))).count() == 0
+
+
+def test_windows_keep_to_the_budget(spark):
+    sizes = [900, 500, 500, 30, 30, 900, 5000, 40, 200, 300, 400, 100, 1000, 20]
+    roles = ["system", "user", "assistant", "user", "assistant", "user", "assistant", "user", "assistant", "system", "user", "assistant", "user", "assistant"]
+    rows = [(1, k, r, f"t{k} " + "word " * n) for k, (r, n) in enumerate(zip(roles, sizes))]
+    windows = format_chats(spark.createDataFrame(rows, SCHEMA)).orderBy("window").collect()
+    seen = []
+    for w in windows:
+        turns = read_turns(w.text)
+        assert w.tokens <= BUDGET or len(turns) == 1
+        new = turns[w.repeated :]
+        seen += new
+        for system in [t for t in turns[: w.repeated] if t[0] == "system"]:
+            assert system == [t for t in seen[: len(seen) - len(new)] if t[0] == "system"][-1]
+        assert len(turns) == len({t[1] for t in turns})
+    assert seen == [(r[2], r[3]) for r in rows]
+    late = [w for w in windows if any(t[1].startswith("t13") for t in read_turns(w.text))]
+    assert any(read_turns(w.text)[0][1].startswith("t9") for w in windows[-4:]) and len(late) == 1
