@@ -27,10 +27,10 @@ HALF, CONSISTENT = 0.5, 1.912
 CUT = 51.0
 #: Rows that an estimate's parent (of a language and source: the language's; of a language: that of all rows) counts for.
 PRIOR = 50.0
-#: Concentration ends where no group's log determinant moves by more than this, or after so many steps.
-STILL, STEPS = 1e-3, 25
+#: Concentration steps of each start; a group's ends where its log determinant moves by no more than this, or after so many.
+EARLY, STILL, STEPS = 2, 0.02, 12
 #: Histogram bins for each doubling of the squared distance.
-FINE = 64
+FINE = 32
 
 
 def _add_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def _estimate(pool: str, start: int, center: np.ndarray, cov: np.ndarray, old: f
     return pool, start, center.tolist(), cov.ravel().tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), old
 
 
-FITTED = "pool string, start int, center array<double>, cov array<double>, inverse array<double>, logdet double, old double"
+FITTED = "pool long, start int, center array<double>, cov array<double>, inverse array<double>, logdet double, old double"
 _FITTED = [x.split()[0] for x in FITTED.split(", ")]
 
 
@@ -142,28 +142,46 @@ def _first_estimates(rows: DataFrame) -> DataFrame:
     return sums.join(q, "pool").mapInPandas(_starts, FITTED)
 
 
+def _concentrate(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """One step: the estimates of the half of each pool that is nearest by ``fitted(pool, start, ...)``."""
+    far = rows.join(fitted, "pool").withColumn("bin", F.floor(F.log2(_squared_distance() + 1e-6) * FINE).cast("int"))
+    up = Window.partitionBy("pool", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = far.groupBy("pool", "start", "bin").agg(F.count("*").alias("n"))
+    bins = bins.withColumn("seen", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("pool", "start")))
+    cut = materialize(bins.where(F.col("seen") >= HALF * F.col("all")).groupBy("pool", "start").agg(F.min("bin").alias("cut")), "cut")
+    near = far.join(cut, ["pool", "start"]).where("bin <= cut")
+    return materialize(near.groupBy("pool", "start").agg(F.count("*").alias("n"), F.first("logdet").alias("old"), *_moments("x")).mapInPandas(_solve, FITTED), "fit")
+
+
+def _best(fitted: DataFrame) -> DataFrame:
+    names = [c for c in _FITTED if c != "pool"]
+    best = fitted.groupBy("pool").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("b"))
+    return materialize(best.select("pool", *(F.col(f"b.{c}").alias(c) for c in names)), "best")
+
+
 def determinants(rows: DataFrame) -> DataFrame:
     """``pool, n, center, cov`` of materialised ``rows(pool, x0, x1, ...)``: each pool's minimum-covariance-determinant estimate.
 
-    From each of three starts, concentration steps keep the half of a pool that is nearest and estimate anew until no
-    determinant moves; of the three the least determinant counts. The nearest half is found from a fine histogram of log
-    distances and its moments are sums, so every step is a pre-aggregated pass over all rows and nothing of a pool meets in
-    one task but its bins.
+    Concentration steps keep the half of a pool that is nearest and estimate anew. Each of three starts takes EARLY steps; the
+    one of the least determinant goes on until the determinant stays, for each pool by itself. The nearest half is found from
+    a fine histogram of log distances and its moments are sums, so every step is a pre-aggregated pass over all rows of
+    the pools that still move, and nothing of a pool meets in one task but its bins.
     """
     fitted = materialize(_first_estimates(rows), "fit")
-    for step in range(STEPS):
-        far = rows.join(fitted, "pool").withColumn("bin", F.floor(F.log2(_squared_distance() + 1e-6) * FINE).cast("long"))
-        up = Window.partitionBy("pool", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = far.groupBy("pool", "start", "bin").agg(F.count("*").alias("n"))
-        bins = bins.withColumn("seen", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("pool", "start")))
-        cut = bins.where(F.col("seen") >= HALF * F.col("all")).groupBy("pool", "start").agg(F.min("bin").alias("cut"))
-        near = far.join(cut, ["pool", "start"]).where("bin <= cut")
-        fitted = materialize(near.groupBy("pool", "start").agg(F.count("*").alias("n"), F.first("logdet").alias("old"), *_moments("x")).mapInPandas(_solve, FITTED), "fit")
-        moved = fitted.agg(F.max(F.abs(F.col("logdet") - F.col("old")))).first()[0]
-        if step and (moved is None or moved <= STILL):
+    for _ in range(EARLY):
+        fitted = _concentrate(rows, fitted)
+    moving = _best(fitted)
+    done = []
+    for _ in range(STEPS):
+        moving = _concentrate(rows, moving)
+        still = F.abs(F.col("logdet") - F.col("old")) <= STILL
+        done.append(moving.where(still))
+        moving = moving.where(~still)
+        if moving.isEmpty():
             break
-    best = fitted.groupBy("pool").agg(F.min_by(F.struct("center", "cov"), F.struct("logdet", "start")).alias("b"))
-    return rows.groupBy("pool").agg(F.count("*").cast("double").alias("n")).join(best, "pool").select("pool", "n", "b.center", "b.cov")
+    for more in done:
+        moving = moving.union(more)
+    return rows.groupBy("pool").agg(F.count("*").cast("double").alias("n")).join(moving, "pool").select("pool", "n", "center", "cov")
 
 
 def _blend(center: str, cov: str, n: str, above: str, above_cov: str) -> list[Column]:
@@ -190,10 +208,13 @@ def fit_outliers(stats: DataFrame) -> DataFrame:
     """
     rows = stats.where(~base_failed()).select(_group().alias("grp"), _language().alias("lng"), *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
     groups = rows.select("grp", "lng").distinct()
-    pools = F.explode(F.array(F.lit("all"), F.concat(F.lit("l"), "lng"), F.concat(F.lit("g"), "grp"))).alias("pool")
+    names = F.lit("all"), F.concat(F.lit("l"), "lng"), F.concat(F.lit("g"), "grp")
+    pools = F.explode(F.array(*map(F.xxhash64, names))).alias("pool")
     found = materialize(determinants(materialize(rows.select(pools, *(f"x{i}" for i in range(P))), "vectors")), "params")
     named = lambda k: found.select(F.col("pool").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("center").alias(f"c{k}"), F.col("cov").alias(f"v{k}"))
-    got = groups.join(named(0), F.col("p0") == "all").join(named(1), F.col("p1") == F.concat(F.lit("l"), "lng")).join(named(2), F.col("p2") == F.concat(F.lit("g"), "grp"))
+    got = groups
+    for k in range(3):
+        got = got.join(named(k), F.col(f"p{k}") == F.xxhash64(names[k]))
     center, cov = _blend("c1", "v1", "n1", "c0", "v0")
     got = got.withColumns({"c1": center, "v1": cov})
     center, cov = _blend("c2", "v2", "n2", "c1", "v1")

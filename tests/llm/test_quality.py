@@ -108,9 +108,9 @@ def test_against_an_independent_search(spark):
     for k in range(5):
         shape = rng.normal(size=(5, 5))
         clean = rng.normal(size=(44, 5)) @ shape + 5
-        groups[f"g{k}"] = np.vstack([clean, rng.normal(size=(20, 5)) * 3 @ shape + clean.mean(0) + 9 * shape[0]])
+        groups[k] = np.vstack([clean, rng.normal(size=(20, 5)) * 3 @ shape + clean.mean(0) + 9 * shape[0]])
     rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
-    got = {r.pool: r for r in determinants(spark.createDataFrame(rows, "pool string, x0 double, x1 double, x2 double, x3 double, x4 double")).collect()}
+    got = {r.pool: r for r in determinants(spark.createDataFrame(rows, "pool long, x0 double, x1 double, x2 double, x3 double, x4 double")).collect()}
     for g, x in groups.items():
         logdet, center = exact_mcd(x, rng)
         mine = np.linalg.slogdet(np.array(got[g].cov).reshape(5, 5))[1]
