@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +95,28 @@ def concurrency_shares(devices: DataFrame, max_concurrency: int) -> DataFrame:
     return rows.withColumn("share", F.expr("1 + _spare * size div _total")).drop("_spare", "_total")
 
 
-def rate_limited(reports: DataFrame, series: list[str], micros: Column, gap_ms: int) -> DataFrame:
-    """Progress reports at most every ``gap_ms``: one for each slot of time, and each series' last."""
-    slot = F.floor(micros / (gap_ms * 1000))
-    rows = reports.withColumn("_slot", slot).withColumn("_first", F.row_number().over(Window.partitionBy(*series, "_slot").orderBy(micros))).withColumn("_last", F.row_number().over(Window.partitionBy(*series).orderBy(micros.desc())))
-    return rows.where("_first = 1 or _last = 1").drop("_slot", "_first", "_last")
+def rate_limited(reports: DataFrame, series: list[str], micros: Column, gap_ms: int, ties: str) -> DataFrame:
+    """Progress reports at most every ``gap_ms``: those at least that long after the last one kept of their series, and each
+    series' last, which is always sent. Equal times go by the column ``ties``.
+
+    What is kept depends on what was kept before, so a series is read in order by one task; it streams and holds one time.
+    """
+    rows = reports.select(F.struct(*series).alias("_key"), micros.alias("_at"), "*")
+    ends = rows.groupBy(F.col("_key").alias("_series")).agg(F.max(F.struct("_at", ties)).alias("_end"))
+    rows = rows.join(ends, F.col("_key").eqNullSafe(F.col("_series"))).withColumn("_forced", F.struct("_at", ties) == F.col("_end"))
+    names = reports.columns
+    rows = rows.select("_key", "_at", "_forced", *names).repartition("_key").sortWithinPartitions("_key", "_at", ties)
+
+    def spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, due = None, 0
+        for batch in batches:
+            keep = []
+            for key, at, forced in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                sent = key != last or at >= due
+                if sent:
+                    last, due = key, at + gap_ms * 1000
+                keep.append(sent or forced)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[3:], names=names)
+
+    return rows.mapInArrow(spaced, reports.schema)

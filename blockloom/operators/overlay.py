@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 ZERO_HASH = "0" * 64
 
@@ -49,11 +52,10 @@ def unrequired(blocks: DataFrame, *overlays: DataFrame) -> DataFrame:
     return rows
 
 
-def differing_bytes(a: Column, b: Column) -> Column:
+@F.pandas_udf(LongType())
+def differing_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     """Number of unequal bytes of two binaries of one length."""
-    ha, hb = F.hex(a), F.hex(b)
-    steps = F.sequence(F.lit(1), F.greatest(F.octet_length(a), F.lit(1)))
-    return F.aggregate(steps, F.lit(0), lambda n, i: n + F.when(F.substr(ha, 2 * i - 1, F.lit(2)) != F.substr(hb, 2 * i - 1, F.lit(2)), 1).otherwise(0))
+    return pd.Series([int(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))) for x, y in zip(a, b)], dtype="int64")
 
 
 def block_differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -63,8 +65,11 @@ def block_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def count_differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``n_blocks, n_bytes`` by which two devices of one size differ."""
-    return block_differences(a, b).agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("long").alias("n_bytes"))
+    """``n_blocks, n_bytes`` by which two devices differ; an error if one lacks a block of the other, or blocks differ in length."""
+    both = a.select("block_no", F.col("data").alias("a")).join(b.select("block_no", F.col("data").alias("b")), "block_no", "full_outer")
+    fits = F.coalesce(F.octet_length("a") == F.octet_length("b"), F.lit(False))
+    other = both.where(~fits | (F.col("a") != F.col("b"))).select(F.when(fits, F.col("a")).otherwise(F.raise_error(F.lit("devices differ in size")).cast("binary")).alias("a"), "b")
+    return other.select(differing_bytes("a", "b").alias("n")).agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 def equals(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -332,9 +332,14 @@ def concurrency_share(spark, d):
     return M.concurrency_shares(parts, 500).select("device", "share")
 
 
-@query(twin("""select device, seq from (select device, seq, row_number() over (partition by device, epoch_us(ts) // 3600000000 order by epoch_us(ts), seq) as f, row_number() over (partition by device order by epoch_us(ts) desc, seq desc) as l from v_oplog) where f = 1 or l = 1""", "v_oplog"))
+@query(twin("""select device, seq from (with recursive r as (
+    select device, min(epoch_us(ts)) as t from v_oplog group by device
+    union all
+    select r.device, min(epoch_us(o.ts)) as t from r join v_oplog o on o.device = r.device and epoch_us(o.ts) >= r.t + 3600000000 group by r.device)
+  select r.device, min(o.seq) as seq from r join v_oplog o on o.device = r.device and epoch_us(o.ts) = r.t group by r.device, r.t
+  union select device, seq from (select device, seq, row_number() over (partition by device order by epoch_us(ts) desc, seq desc) as l from v_oplog) where l = 1)""", "v_oplog"))
 def progress_reports(spark, d):
-    return M.rate_limited(bind.oplog(spark, d), ["device"], V.micros(F.col("ts")) + F.col("seq") * 0, 3600000).select("device", "seq")
+    return M.rate_limited(bind.oplog(spark, d).select("device", "seq", "ts"), ["device"], V.micros(F.col("ts")), 3600000, "seq").select("device", "seq")
 
 
 @query(twin(f"""select device, {BLOCKS}::bigint as total, count(*) filter (m) as n_migrated, count(*) filter (m and not w) as n_ready, count(*) filter (m) * 1000000 // {BLOCKS} as migrated_ppm from
