@@ -9,6 +9,7 @@ from blockloom.operators import combine as C
 from blockloom.operators import hashing as H
 from blockloom.operators import metrics as M
 from blockloom.operators import modules as D
+from blockloom.operators import overlay as O
 from blockloom.operators import ranges as R
 from blockloom.operators import sets as S
 from blockloom.operators import sync as Y
@@ -97,6 +98,14 @@ def dirty_topk(spark, d):
     return T.dirty_groups(_state(spark, d), _as_of(spark, d), DAY, 20, 2, 2)
 
 
+@query(_with_state(f"""select device, grp, n_dirty, expired from (select device, block_no >> 2 as grp, count(*) as n_dirty, max(cast((epoch_us((select max(ts) from events)) - epoch_us(s.ts)) / 1000000 > {DAY} as int)) as expired
+  from v_state where s.t = 2 group by all) where expired = 1 or n_dirty >= 2 order by expired desc, n_dirty desc, device, grp limit 20""").replace("where o.op = 'SYNC'", "where false", 1))
+def dirty_topk_unsynced(spark, d):
+    """``dirty_topk`` of a tracker that nothing has emptied: all reads, writes and tracking requests, no sync."""
+    state = T.dirty_fold(bind.oplog(spark, d).where("op <> 'SYNC'"), SIZE, BLOCK, 1024)
+    return T.dirty_groups(state, _as_of(spark, d), DAY, 20, 2, 2)
+
+
 _COUNTS = f"""(select b.device, b.block_no, coalesce(n, 0) as n from (select device, unnest(range(0, {BLOCKS})) as block_no from (select distinct device from v_oplog)) b
   left join (select device, block_no, count(*) as n from v_touch where op = 'W' and ts >= (select max(ts) from events) - interval {EXPIRY} second group by all) c on c.device = b.device and c.block_no = b.block_no)"""
 
@@ -429,6 +438,13 @@ def track_unrequired(spark, d):
     return D.track_rows(free, BLOCK, 0).select("device", "seq", "op", "offset")
 
 
+@query(twin("select 7 as device, 3::bigint as seq, 'TRACK' as op, b.block_no * 16 as \"offset\" from v_base b anti join v_overlay o on o.block_no = b.block_no", "v_base", "v_overlay"))
+def track_unrequired_base(spark, d):
+    """Tracking requests for the base's blocks that the overlay doesn't have, as device 7."""
+    free = O.unrequired(bind.base(spark, d), bind.overlay(spark, d))
+    return D.track_rows(free.withColumn("device", F.lit(7)), 16, 3).select("device", "seq", "op", "offset")
+
+
 @query(twin(f"""select a.id, m.slot, m.slot is not null as found, lower(hex(b.data)) as data from v_addr a left join {_MAPPED} m on m.id = a.id left join v_base b on b.block_no = m.slot""", "v_addr", "v_base"))
 def read_by_id(spark, d):
     got = D.read_ids(bind.addresses(spark, d), _mapped(spark, d), bind.base(spark, d))
