@@ -195,8 +195,7 @@ def safe_blocks(spark, d):
     status = hashes.select("device", "block_no", F.lit(True).alias("is_set"), F.lit(2).alias("updating_id"), F.when(F.expr("(device + block_no) % 4 = 0"), 1).otherwise(2).alias("current_id"), F.col("hash").alias("current_hash"))
     sizes = bind.table(spark, d, "documents").select(F.col("doc_id").alias("device"), F.octet_length("text").alias("size"))
     safe = H.safe_blocks(status).join(sizes, "device")
-    got = safe.select("device", (F.col("block_no") * BLOCK).alias("offset"), F.least(F.lit(BLOCK), F.col("size") - F.col("block_no") * BLOCK).cast("long").alias("length"), "hash", F.concat_ws(" ", F.lit("store"), F.col("device").cast("string")).alias("location"))
-    return got
+    return H.alternate_sources(safe, F.col("size"), BLOCK, "store").withColumn("length", F.col("length").cast("long"))
 
 
 @query(twin(f"select device || '/' || block_no as location, sha256(data) = case when device % 11 = 3 then 'bad' else sha256(data) end as verified, octet_length(data) as length from v_blocks", "v_blocks"))
