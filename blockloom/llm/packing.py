@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.llm.columns import tidied
 from blockloom.llm.wordtok import default_vocabulary, word_ids
 from blockloom.scratch import materialize
 
@@ -34,6 +35,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cutter(vocabulary: str, capacity: int):
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary, special=True).ids
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.llm.columns import seal
+from blockloom.llm.columns import seal, tidied
 from blockloom.llm.textstats import text_stats
 from blockloom.scratch import materialize
 
@@ -33,6 +33,7 @@ EARLY, STILL, STEPS = 2, 0.02, 12
 FINE = 32
 
 
+@tidied
 def _add_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.llm.columns import seal
+from blockloom.llm.columns import seal, tidied
 from blockloom.scratch import discard, materialize, partitions, release
 
 LENGTH = 200
@@ -50,6 +50,7 @@ def text_key(text: Column) -> Column:
 def _chunker(size: int):
     """Distinct texts -> chunks ``chunk, bytes, keys, sizes, packed`` of about ``size`` bytes; texts too short to repeat are left out."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
         held = 0
@@ -168,6 +169,7 @@ def _ask(chunk: int, route: np.ndarray, codes: np.ndarray, counts: np.ndarray) -
 
 
 def _ask_samples(routes: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -183,6 +185,7 @@ def _ask_samples(routes: int):
 def _ask_strings(routes: int):
     """Buckets that are split by all bytes of their strings."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -194,6 +197,7 @@ def _ask_strings(routes: int):
     return run
 
 
+@tidied
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which codes of each chunk occur in two places or more anywhere, and which in more than LIMIT: a bit for each."""
     for table in _groups(batches, 1):
@@ -256,6 +260,7 @@ BLOCK_SQL = "route long, solved boolean, key binary, start int, strings int, anc
 def _emit_blocks(routes: int):
     """Step 2: the bytes around each repeated sample; equal blocks of a batch are solved at home and leave it once."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = []
@@ -292,6 +297,7 @@ def _emit_blocks(routes: int):
 def _split_runs(routes: int):
     """Runs ``key, start, strings`` of repeated strings around samples of class 2, from the answers in ``more``."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -328,6 +334,7 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
+@tidied
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3: ``key, start, strings`` of runs of repeated strings, bucket after bucket."""
     for table in _groups(batches, BLOCKS):
@@ -441,6 +448,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(rest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [*names, "q_rest", "q_bytes", "q_removed", "q_runs"])
 
 
+@tidied
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their repeats; rows of which nothing but white space stays are dropped."""
     for batch in batches:
