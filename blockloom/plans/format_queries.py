@@ -38,7 +38,7 @@ def codec_gzip(spark, d):
 
 @query(twin(f"""select device as dev, 'WriteAt' as kind, block_no * {BLOCK} as "offset", sha256(data) as hash from v_blocks""", "v_blocks"))
 def packet_decode(spark, d):
-    rows = bind.blocks(spark, d).withColumn("at", F.reverse(F.unhex(F.lpad(F.hex(F.col("block_no") * BLOCK), 16, "0"))).cast("binary"))
+    rows = bind.blocks(spark, d).withColumn("at", P.int64_bytes(F.col("block_no") * BLOCK))
     packets = rows.select(F.col("device").alias("dev"), F.concat(F.unhex(F.lit("0200")), "at", "data").alias("payload"))
     return P.decode_packets(packets).select("dev", "kind", "offset", F.sha2("data", 256).alias("hash"))
 

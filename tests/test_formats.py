@@ -158,3 +158,15 @@ def test_scalars(spark):
     smaps = spark.createDataFrame([("a", "Rss:   12 kB"), ("a", "Rss: 3 kB"), ("a", "VmFlags: rd")], "pathname string, line string")
     assert [tuple(x) for x in G.parse_smaps(smaps).collect()] == [("a", "Rss", 15360)]
     assert [x.child for x in G.children(spark.createDataFrame([("12 13 ",)], "children string")).collect()] == [12, 13]
+
+
+def test_offsets_of_every_byte_survive(spark, tmp_path):
+    from blockloom.plans import registry
+
+    numbers = [0, 1, -1, 1 << 40, -(1 << 63), *(k * 4096 for k in range(300)), *(k << 8 | 0xE2 for k in range(256))]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", P.int64_bytes(F.col("n")).alias("raw")).collect()
+    assert {r.n: bytes(r.raw) for r in rows} == {n: n.to_bytes(8, "little", signed=True) for n in numbers}
+    # 20 blocks: the offset of block 14 has the byte E0, which as UTF-8 would begin three bytes.
+    spark.createDataFrame([(1, "x" * 4096 * 20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["packet_decode"](spark, str(tmp_path)).collect()
+    assert sorted(r.offset for r in got) == [4096 * k for k in range(20)]
