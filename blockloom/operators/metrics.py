@@ -74,9 +74,25 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def running_average(samples: DataFrame, series: list[str], micros: Column, window_s: int, value: str) -> DataFrame:
-    """Mean over the last ``window_s`` seconds, strictly younger only; the sample itself always counts. Adds ``n_in`` and ``sum_in``."""
-    w = Window.partitionBy(*series).orderBy(micros).rangeBetween(-window_s * 1000000 + 1, 0)
-    return samples.withColumn("n_in", F.count("*").over(w)).withColumn("sum_in", F.sum(value).over(w))
+    """Mean over the last ``window_s`` seconds, strictly younger only; the sample itself always counts. Adds ``n_in`` and ``sum_in``.
+
+    Time is cut into stretches as long as the window. A window is then the start of its own stretch and the end of the one
+    before, which comes along a window later: both are running totals, so no sample is added up again for each window that
+    it is in, and nothing is subtracted. Samples without a time are in one window.
+    """
+    long = window_s * 1000000
+    twice = F.explode(F.array(F.struct(F.lit(0).alias("late"), F.lit(True).alias("own")), F.struct(F.lit(long).alias("late"), F.lit(False).alias("own"))))
+    rows = samples.withColumns({"_at": micros.cast("long"), "_value": F.col(value)}).withColumn("_as", twice).where("_as.own or _at is not null")
+    rows = rows.withColumns({c: F.when(F.col("_as.own"), F.col(c)) for c in samples.columns if c not in series})
+    rows = rows.withColumn("_at", F.col("_at") + F.col("_as.late")).withColumn("_part", F.expr(f"_at div {long} - if(_at % {long} < 0, 1, 0)"))
+    own, earlier = F.col("_as.own"), ~F.col("_as.own")
+    key = Window.partitionBy(*series, "_part")
+    start = key.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    end = key.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    n = F.count_if(own).over(start) + F.count_if(earlier).over(end)
+    one, two = F.sum(F.when(own, F.col("_value"))).over(start), F.sum(F.when(earlier, F.col("_value"))).over(end)
+    summed = rows.withColumns({"n_in": n, "sum_in": F.coalesce(one + two, one, two)}).where(own)
+    return summed.select(*samples.columns, "n_in", "sum_in")
 
 
 def bandwidth(ops: DataFrame, micros: Column) -> DataFrame:
