@@ -82,3 +82,26 @@ def test_parities_never_differ_in_more_than_the_sets():
             assert parities_apart(parities(a), parities(b)) == parities_apart(parities(b), parities(a)) <= len(np.setxor1d(a, b))
     apart = [np.unique(rng.integers(-(2**63), 2**63, 3000)) for _ in range(2)]
     assert 9 * parities_apart(*map(parities, apart)) > 6000
+
+
+def test_pairs_meet_at_their_first_shared_shingle(spark):
+    from pyspark.sql import functions as F
+
+    from blockloom.llm.components import _oriented
+
+    # Long sets, whose parities tell nothing: 0 and 1 share a whole run of shingles, 2 shares every third of them, and 9 others with 3.
+    runs = {0: list(range(100)), 1: list(range(100)), 2: sorted([*range(0, 100, 3), *(1000 + k for k in range(9))]), 3: [1000 + k for k in range(9)]}
+    places = [(k, fp, 4000, at, fp) for fp, keys in runs.items() for at, k in enumerate(keys)]
+    rooted = spark.createDataFrame(places, "key long, fp long, n int, pos int, root long")
+    hubs = rooted.groupBy("key").agg(F.count("*").alias("size"), F.max("root").alias("hub")).where("size > 1")
+    odd = near_copies.parities(np.arange(4000))
+    sets = spark.createDataFrame([(fp, bytearray(odd)) for fp in runs], "fp long, odd binary")
+    made = []
+    first = near_copies._first_met
+    near_copies._first_met = lambda rows: made.append(materialize(first(rows), "met")) or made[-1]
+    try:
+        pairs = near_copies._unlinked_pairs(rooted.join(hubs, "key"), sets, sets.selectExpr("fp as a", "fp as b").limit(0))
+    finally:
+        near_copies._first_met = first
+    assert sorted(map(tuple, pairs.collect())) == [(1, 0), (2, 0), (2, 1), (3, 2)]
+    assert _oriented(made[0]).count() == 4 and made[0].count() <= 12
