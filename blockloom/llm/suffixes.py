@@ -401,6 +401,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size = chunks.agg(F.sum("bytes")).first()[0] or 0
     routes = max(n, size * len(D) // V // ROUTE)
     flags = _answered(chunks.mapInArrow(_ask_samples(routes), ASKED_SQL), n, "flags")
+    release(docs.sparkSession)  # the texts' and the samples' shuffles, before the blocks' larger one
     flagged = chunks.join(flags, "chunk")
     blocks = flagged.mapInArrow(_emit_blocks(routes), BLOCK_SQL)
     runs = blocks.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_sort_buckets, "key binary, start int, strings int")
