@@ -402,18 +402,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     routes = max(n, size * len(D) // V // ROUTE)
     flags = _answered(chunks.mapInArrow(_ask_samples(routes), ASKED_SQL), n, "flags")
     release(docs.sparkSession)  # the texts' and the samples' shuffles, before the blocks' larger one
-    flagged = chunks.join(flags, "chunk")
+    # A copy with its answers, so that the join's shuffle of all texts is gone as well when the blocks are dealt.
+    flagged = materialize(chunks.join(flags, "chunk"), "flagged")
+    for table in (chunks, flags):
+        discard(table)
     blocks = flagged.mapInArrow(_emit_blocks(routes), BLOCK_SQL)
     runs = blocks.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_sort_buckets, "key binary, start int, strings int")
-    if not flags.where(F.exists("flags", lambda f: f["hot"].isNotNull())).isEmpty():
-        hot = chunks.join(flags.where(F.exists("flags", lambda f: f["hot"].isNotNull())), "chunk")
+    hot = flagged.where(F.exists("flags", lambda f: f["hot"].isNotNull()))
+    if not hot.isEmpty():
         more = _answered(hot.mapInArrow(_ask_strings(routes), ASKED_SQL), n, "more")
         runs = runs.union(hot.join(more, "chunk").mapInArrow(_split_runs(routes), "key binary, start int, strings int"))
     spans = runs.select("key", F.struct(F.col("start"), (F.col("start") + F.col("strings") - 1 + LENGTH).alias("end")).alias("span"))
     whole = twins.select("key", F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")).alias("span"))
     found = materialize(spans.union(whole).groupBy("key").agg(F.collect_list("span").alias("spans")), "spans")
-    for table in (chunks, flags):
-        discard(table)
+    discard(flagged)
     return found
 
 

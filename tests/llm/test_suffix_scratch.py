@@ -12,3 +12,14 @@ def test_shuffles_of_texts_and_samples_go_before_the_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j % 90}" for j in range(100))) for k in range(4)], "doc_id long, text string")
     suffixes.repeat_digests(docs)
     assert steps == ["flags", "release", "blocks", "release"]
+
+
+def test_texts_lie_in_the_scratch_folder_once_when_blocks_are_made(spark, monkeypatch):
+    there, then = [], []
+    emit, write, drop = suffixes._emit_blocks, suffixes.materialize, suffixes.discard
+    monkeypatch.setattr(suffixes, "materialize", lambda df, name: there.append(name) or write(df, name))
+    monkeypatch.setattr(suffixes, "discard", lambda t: there.remove(t._scratch_path.rsplit("/", 1)[1].rsplit("-", 1)[0]) or drop(t))
+    monkeypatch.setattr(suffixes, "_emit_blocks", lambda routes: then.extend(there) or emit(routes))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j % 90}" for j in range(100))) for k in range(4)], "doc_id long, text string")
+    suffixes.repeat_digests(docs)
+    assert then == ["twins", "flagged"] and there == ["twins", "spans"]
