@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.scratch import discard, materialize
+from blockloom.scratch import discard, materialize, shuffled
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -43,10 +43,10 @@ def _oriented(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).withColumn("m", F.least("n", "m"))
-    return _oriented(both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")))
+    return _oriented(both.where("b > a").join(shuffled(low), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     low = links.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-    moved = links.join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = links.join(shuffled(low), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _oriented(moved.union(low.select(F.col("n").alias("a"), F.col("m").alias("b"))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.columns import row_hash, seal
 from blockloom.llm.components import connected_components
-from blockloom.scratch import materialize
+from blockloom.scratch import materialize, shuffled
 
 BLOCK = 1 << 16  # shingles hashed at a time: bounds memory for very long texts
 
@@ -89,7 +89,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     left = spread(probes, F.when(F.col("r") == 0, F.concat(exact, near)).otherwise(exact)).select(F.col("fp").alias("a"), "seg", "val", "q", "sub")
     right = spread(table, exact).select(F.col("fp").alias("b"), "seg", "val", "q", "sub")
     return (
-        left.join(right, ["seg", "val", "q", "sub"])
+        left.join(shuffled(right), ["seg", "val", "q", "sub"])
         .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     )
@@ -116,11 +116,11 @@ def grouped(prints: DataFrame, links: DataFrame) -> DataFrame:
     """The same for any links ``(a, b)`` between values of ``fp``."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = materialize(connected_components(links), "roots")
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(shuffled(roots), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "named")
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "row_hash", "fp", "component_id")
+    classes = named.join(shuffled(lowest), "root").select("fp", "component_id")
+    return prints.join(shuffled(classes), "fp").select("doc_id", "row_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -142,5 +142,5 @@ def keep_lowest(docs: DataFrame, groups: DataFrame) -> DataFrame:
     best = copies.groupBy("g").agg(F.min(F.struct("r", "n")).alias("b")).select(F.col("b.r.i").alias("q_id"), F.col("b.r.h").alias("q_hash"), F.col("b.n").alias("q_n"))
     rows = seal(docs, "doc_id")
     names = rows.columns
-    kept = rows.withColumn("q_row", row_hash(rows)).join(best, (F.col("q_row") == F.col("q_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("q_id")))
+    kept = rows.withColumn("q_row", row_hash(rows)).join(shuffled(best), (F.col("q_row") == F.col("q_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("q_id")))
     return kept.where("q_n = 1").select(*names).union(kept.where("q_n > 1").groupBy("q_row").agg(*(F.first(c).alias(c) for c in names)).select(*names)).toDF(*docs.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from blockloom.llm import simhash
 from blockloom.llm.components import connected_components
 from blockloom.llm.simhash import fingerprint, keep_one, near_pairs, simhash_groups
+from blockloom.scratch import materialize
 
 
 def brute_components(nodes, linked):
@@ -111,3 +112,15 @@ def tuple_row(df, values):
     from pyspark.sql import Row
 
     return Row(**dict(zip(df.columns, values)))
+
+
+def test_exploded_segments_are_not_broadcast(spark):
+    prints = materialize(spark.range(2000).selectExpr("xxhash64(id) as fp"), "t")
+    joins = [x for x in near_pairs(prints)._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "sub" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_classes_are_not_broadcast(spark):
+    prints = materialize(spark.range(2000).selectExpr("id as doc_id", "id as row_hash", "xxhash64(id % 900) as fp"), "t")
+    plan = simhash.grouped(prints, spark.range(0).selectExpr("id as a", "id as b"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
