@@ -105,3 +105,18 @@ def test_pairs_meet_at_their_first_shared_shingle(spark):
         near_copies._first_met = first
     assert sorted(map(tuple, pairs.collect())) == [(1, 0), (2, 0), (2, 1), (3, 2)]
     assert _oriented(made[0]).count() == 4 and made[0].count() <= 12
+
+
+def test_sets_repeated_for_each_block_are_not_broadcast(spark):
+    odd = ", ".join(f"id as o{k}" for k in range(near_copies.WORDS_OF_BITS))
+    rows = materialize(spark.range(600).selectExpr("1L as key", "id as fp", "10 as n", "0 as pos", "id as root", "-1L as hub", "3 as blocks", "array(id) as earlier", *odd.split(", ")), "t")
+    plan = near_copies._first_met(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_exploded_prefixes_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    sets = write(spark.range(300).selectExpr("id as fp", "20 as n", "transform(sequence(0, 19), x -> x + id div 2) as prefix"), "t")
+    met = near_copies._meeting(sets.selectExpr("fp", "n", "posexplode(prefix) as (pos, key)"))
+    assert met.count() == 6000 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
