@@ -1,5 +1,10 @@
 """Shuffles of finished steps are dropped before larger ones begin."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
 from blockloom.llm import suffixes
 
 
@@ -23,3 +28,23 @@ def test_texts_lie_in_the_scratch_folder_once_when_blocks_are_made(spark, monkey
     docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j % 90}" for j in range(100))) for k in range(4)], "doc_id long, text string")
     suffixes.repeat_digests(docs)
     assert then == ["twins", "flagged"] and there == ["twins", "spans"]
+
+
+def test_routes_of_a_batch_are_judged_one_at_a_time():
+    rng = np.random.default_rng(1)
+    asked, codes = [], {}
+    for route in range(8):
+        for chunk in range(2):
+            own = np.unique(rng.integers(0, 1 << 18, 60_000, dtype=np.uint64))
+            codes[route, chunk] = own
+            low = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, : suffixes.LOW // 8])
+            asked.append(suffixes._ask(chunk, np.full(len(own), route), low, np.ones(len(own), np.int64)))
+    batch = pa.Table.from_batches(asked).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    out = [x for b in suffixes._judge(iter([batch])) for x in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for (route, chunk), own in codes.items():
+        (got,) = [x for x in out if (x["route"], x["chunk"]) == (route, chunk)]
+        assert (np.unpackbits(np.frombuffer(got["bits"], np.uint8), count=len(own)) == np.isin(own, codes[route, 1 - chunk])).all() and got["hot"] is None
+    assert most < 20_000_000
