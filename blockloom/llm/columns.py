@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,14 +34,18 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if _holds(f.dataType, odd) else F.col(f"`{f.name}`") for f in docs.schema.fields))
 
 
-def tidied(batches_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def tidied(batches_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps_words: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same function, after which its process gives memory that it no longer uses back to the machine.
 
-    Python workers serve one task after the other and would keep the most that any of them needed.
+    Python workers serve one task after the other and would keep the most that any of them needed. What tasks of one operator
+    keep there for the next, as word ids, goes when a task of another begins; ``keeps_words`` marks those that use word ids.
     """
 
     @functools.wraps(batches_of)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sys.modules.get("blockloom.llm.wordtok")
+        if words and not keeps_words:
+            words.forget()
         yield from batches_of(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it

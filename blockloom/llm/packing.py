@@ -35,7 +35,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cutter(vocabulary: str, capacity: int):
-    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary, special=True).ids
         for batch in batches:
@@ -48,7 +47,7 @@ def _cutter(vocabulary: str, capacity: int):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(rows)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return cut
+    return tidied(cut, keeps_words=True)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -40,6 +40,7 @@ CHUNK = 1 << 20  # bytes of text in a chunk, more for a longer text or with very
 ROUTE = 2_000_000  # sample hashes that meet in one place, roughly
 LIMIT = 20_000  # samples of one gram that are sorted together
 BLOCKS = 20_000  # samples sorted at a time in step 3, more only for a larger bucket
+PART = 5_000  # blocks that leave step 2 at a time
 LOW = 40  # bits of a sample's hash that are sent
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
@@ -265,6 +266,12 @@ BLOCK = pa.schema([("route", pa.int64()), ("solved", pa.bool_()), ("key", pa.bin
 BLOCK_SQL = "route long, solved boolean, key binary, start int, strings int, anchor int, block binary"
 
 
+def _block_batches(rows: list[list]) -> Iterator[pa.RecordBatch]:
+    """In parts, so that no second copy of all blocks is made."""
+    for at in range(0, len(rows), PART):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + PART]), BLOCK)], schema=BLOCK)
+
+
 def _emit_blocks(routes: int):
     """Step 2: the bytes around each repeated sample; equal blocks of a batch are solved at home and leave it once."""
 
@@ -294,10 +301,10 @@ def _emit_blocks(routes: int):
                             rows.append([rows[home][3] ^ route, True, *rows[home][2:5], None, None])
                         rows.append([(a - begin) ^ route ^ who, True, key, a - begin, b - a + 1, None, None])
                 if len(rows) >= 40_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
-                    rows, homes = [], {}
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
+                    homes.clear()
+                    yield from _block_batches(rows)
+                    rows = []
+            yield from _block_batches(rows)
 
     return run
 
@@ -324,6 +331,11 @@ def _split_runs(routes: int):
     return run
 
 
+def _windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Rows of ``length`` bytes from each place on, zeros beyond the end; no matrix of places is made, which would be eight times as large."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(length, np.uint8)]), length)[at]
+
+
 def _ranked(context: np.ndarray, route: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of padded contexts within their buckets and common prefixes of neighbours (-1 across buckets)."""
     words = np.ascontiguousarray(context).view(">u8").astype(np.uint64)
@@ -362,12 +374,13 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         begin = np.concatenate([[0], size.cumsum()[:-1]])
         flat = np.frombuffer(b"".join(raw), np.uint8)
         n = len(raw)
+        del raw
         right = np.arange(LENGTH)
-        grid = np.take(flat, (begin + anchor)[:, None] + right, mode="clip")
+        grid = _windows(flat, begin + anchor, LENGTH)
         grid[right >= (size - anchor)[:, None]] = 0
         r_order, r_common = _ranked(grid, route)
         left = np.arange(-(-V // 8) * 8)
-        grid = np.take(flat, (begin + anchor - 1)[:, None] - left, mode="clip")
+        grid = _windows(flat[::-1], len(flat) - begin - anchor, len(left))
         grid[left >= anchor[:, None]] = 0
         l_order, l_common = _ranked(grid, route)
         del grid

@@ -79,6 +79,11 @@ def word_ids(vocabulary: str, special: bool = False) -> WordIds:
     return _LOADED[key]
 
 
+def forget() -> None:
+    """Drop what ``word_ids`` has loaded; a later call loads it again."""
+    _LOADED.clear()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 

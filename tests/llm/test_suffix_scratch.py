@@ -48,3 +48,34 @@ def test_routes_of_a_batch_are_judged_one_at_a_time():
         (got,) = [x for x in out if (x["route"], x["chunk"]) == (route, chunk)]
         assert (np.unpackbits(np.frombuffer(got["bits"], np.uint8), count=len(own)) == np.isin(own, codes[route, 1 - chunk])).all() and got["hot"] is None
     assert most < 20_000_000
+
+
+def repeated_blocks(n):
+    rng = np.random.default_rng(3)
+    common = [rng.integers(97, 123, 200, np.uint8).tobytes() for _ in range(40)]
+    texts = [rng.integers(97, 123, 60, np.uint8).tobytes() + common[k % 40] + rng.integers(97, 123, 80, np.uint8).tobytes() for k in range(n)]
+    chunks = pa.Table.from_batches(list(suffixes._chunker(1 << 20)([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])])))
+    asked = pa.Table.from_batches(list(suffixes._ask_samples(8)(chunks.to_batches()))).sort_by("route")
+    flags = {}
+    for batch in suffixes._judge(asked.to_batches()):
+        for r in batch.to_pylist():
+            flags.setdefault(r["chunk"], []).append(r)
+    kind = pa.list_(pa.struct([("route", pa.int64()), ("bits", pa.binary()), ("hot", pa.binary())]))
+    flagged = chunks.append_column("flags", pa.array([flags.get(c, []) for c in chunks.column(0).to_pylist()], kind))
+    return list(suffixes._emit_blocks(8)(flagged.combine_chunks().to_batches()))
+
+
+def test_blocks_leave_in_small_batches():
+    blocks = repeated_blocks(6_000)
+    assert sum(b.num_rows for b in blocks) > 10_000 and max(b.nbytes for b in blocks) < 2_500_000
+
+
+def test_blocks_are_sorted_without_a_matrix_of_places():
+    blocks = pa.Table.from_batches(repeated_blocks(6_000))
+    blocks = blocks.filter(blocks.column("anchor").is_valid()).slice(0, 15_000).sort_by("route").combine_chunks()
+    batches = blocks.to_batches(max_chunksize=10_000)
+    tracemalloc.start()
+    runs = sum(b.num_rows for b in suffixes._sort_buckets(iter(batches)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == 15_000 and runs and most < 1_600 * 15_000, most  # eight bytes for each of 200 places would be as much by themselves
